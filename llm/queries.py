@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe_words import op3_bpe_words
+from .minhash_dedup import op1_near_duplicates
 from .mixing import op9_mixing
 from .quality_rules import op8_quality
+from .substring_dedup import op10_substring_dedup
 from .token_counts import op2_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op8_quality, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_token_counts, op3_bpe_words, op8_quality, op9_mixing, op10_substring_dedup)}
 
 ORACLES: dict[str, str] = {}
