@@ -24,6 +24,7 @@ from .common import base, documents, pieces
 BLOCK = 576
 RATE = 8000
 LPC_ORDER, LPC_PRECISION = 4, 10
+MAX_FIXED = 2  # the highest fixed order that the coder tries; the decoder reads all
 MAX_K = 14
 BATCH_FRAMES = 4096
 
@@ -67,20 +68,21 @@ def _utf8_number(n: int) -> bytes:
             return bytes([(0xFF << (7 - len(tail))) & 0xFF | n, *reversed(tail)])
 
 
-def _residuals(x: np.ndarray) -> list[np.ndarray]:
-    """Residuals of the fixed predictors of order 0 to 4; the first ones of each are unused."""
+def _residuals(x: np.ndarray, most: int) -> list[np.ndarray]:
+    """Residuals of the fixed predictors of order 0 to ``most``; the first ones of each are unused."""
     out = [x]
-    for _ in range(4):
+    for _ in range(most):
         d = np.zeros_like(x)
-        d[:, 1:] = out[-1][:, 1:] - out[-1][:, :-1]
+        np.subtract(out[-1][:, 1:], out[-1][:, :-1], out=d[:, 1:])
         out.append(d)
     return out
 
 
 def _lpc(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Quantised coefficients (frames x LPC_ORDER) and shifts, by Levinson-Durbin for all frames at once."""
-    f = x.astype(np.float64) * np.hanning(BLOCK + 2)[1:-1]
-    r = np.stack([(f[:, : BLOCK - k] * f[:, k:]).sum(1) for k in range(LPC_ORDER + 1)])
+    # a window of whole numbers: the sums are exact, so equal frames get equal predictors in any batch
+    f = x.astype(np.float64) * np.rint(np.hanning(BLOCK + 2)[1:-1] * 64)
+    r = np.stack([np.einsum("ij,ij->i", f[:, : BLOCK - k], f[:, k:]) for k in range(LPC_ORDER + 1)])
     a, err = np.zeros((LPC_ORDER, len(x))), np.maximum(r[0], 1e-9) * (1 + 1e-9)
     for i in range(LPC_ORDER):
         k = (r[i + 1] - sum(a[j] * r[i - j] for j in range(i))) / err
@@ -90,18 +92,18 @@ def _lpc(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             new[j] = a[j] - k * a[i - 1 - j]
         a, err = new, np.maximum(err * (1 - k * k), 1e-9)
     top = np.maximum(np.abs(a).max(0), 1e-9)
-    shift = np.clip(LPC_PRECISION - 2 - np.floor(np.log2(top)).astype(np.int64), 0, 15)
+    shift = np.clip(LPC_PRECISION - 2 - (np.frexp(top)[1].astype(np.int64) - 1), 0, 15)
     limit = 1 << (LPC_PRECISION - 1)
     q = np.clip(np.rint(a * 2.0**shift), -limit, limit - 1).astype(np.int64)
-    return q.T, shift
+    return q.T.astype(np.int32), shift.astype(np.int32)
 
 
-def _rice_bits(folded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each frame the best Rice parameter near its mean, and the bits it takes."""
-    mean = np.maximum(folded.mean(1), 1e-3)
-    near = np.clip(np.floor(np.log2(mean)).astype(np.int64), 0, MAX_K)
+def _rice_bits(folded: np.ndarray, refine: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """For each frame a Rice parameter by its mean (the best of that one and its neighbours if ``refine``), and the bits it takes."""
+    mean = np.maximum(folded.sum(1) / folded.shape[1] * 0.7, 1e-3)
+    near = np.clip(np.frexp(mean)[1].astype(np.int32) - 1, 0, MAX_K)
     best = k_best = None
-    for d in (0, -1, 1):
+    for d in (0, -1, 1) if refine else (0,):
         k = np.clip(near + d, 0, MAX_K)
         bits = (folded >> k[:, None]).sum(1) + folded.shape[1] * (1 + k)
         if best is None:
@@ -112,63 +114,66 @@ def _rice_bits(folded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _fold(r: np.ndarray) -> np.ndarray:
-    return (r << 1) ^ (r >> 63)
+    return (r << 1) ^ (r >> 31)
 
 
 def encode_frames(samples: np.ndarray, numbers: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The frames' bytes one after another, and each frame's length. samples: frames x BLOCK, of -128 to 127."""
-    x = samples.astype(np.int64)
+    x = samples.astype(np.int32)
     n = len(x)
-    fixed = _residuals(x)
+    fixed = _residuals(x, MAX_FIXED)
     coef, shift = _lpc(x)
     guess = np.zeros_like(x)
     for j in range(LPC_ORDER):
         guess[:, LPC_ORDER:] += coef[:, j : j + 1] * x[:, LPC_ORDER - 1 - j : BLOCK - 1 - j]
-    lpc = x - (guess >> shift[:, None])
-    # cost of each predictor: 0 to 4 fixed, 5 linear
-    kinds = [(o, fixed[o][:, o:], 8 * o) for o in range(5)] + [(LPC_ORDER, lpc[:, LPC_ORDER:], 8 * LPC_ORDER + 9 + LPC_ORDER * LPC_PRECISION)]
-    cost, ks = np.empty((6, n), np.int64), np.empty((6, n), np.int64)
-    for i, (_, r, side) in enumerate(kinds):
-        ks[i], bits = _rice_bits(_fold(r))
-        cost[i] = bits + side
+    tries = [(o, r) for o, r in enumerate(fixed)] + [(LPC_ORDER, x - (guess >> shift[:, None]))]
+    folds = [_fold(r) for _, r in tries]
+    side_bits = LPC_ORDER * LPC_PRECISION + 9
+    cost = np.stack([_rice_bits(f[:, o:])[1] + 8 * o for (o, _), f in zip(tries, folds, strict=True)])
+    cost[-1] += side_bits
     pick = cost.argmin(0)
-    k = ks[pick, np.arange(n)]
-    order = np.where(pick == 5, LPC_ORDER, pick)
-    res = np.empty_like(x)
-    for i, (_, _, _) in enumerate(kinds):
-        m = pick == i
-        res[m] = (fixed[i] if i < 5 else lpc)[m]
-    folded = _fold(res)
-    value, width = np.zeros((n, BLOCK), np.int64), np.empty((n, BLOCK), np.int64)
+    linear = pick == len(fixed)
+    order = np.where(linear, LPC_ORDER, pick)
+    folded = folds[0]
+    for i in range(1, len(tries)):
+        m = np.flatnonzero(pick == i)
+        folded[m] = folds[i][m]
     warm = np.arange(BLOCK)[None, :] < order[:, None]
-    quotient = np.where(warm, 0, folded >> k[:, None])
+    folded[warm] = 0
+    k = _rice_bits(folded, True)[0]
+    quotient = folded >> k[:, None]
     value = np.where(warm, x & 0xFF, (1 << k)[:, None] | (folded & ((1 << k) - 1)[:, None]))
     width = np.where(warm, 8, 1 + k[:, None])
-    # the sides of the layout: header, 8 bits of subframe header, warm-up, predictor, 10 bits of residual header, codes
     heads = [b"\xff\xf8" + bytes([0x20, 0x02]) + _utf8_number(int(i)) for i in numbers]
     head_len = np.array([len(h) for h in heads], np.int64)
-    side = np.where(pick == 5, 9 + LPC_ORDER * LPC_PRECISION, 0)
+    side = np.where(linear, side_bits, 0)
+    # the subframe: 8 bits of header, warm-up samples, predictor, 10 bits of residual header, codes
     room = quotient + width
     start = np.cumsum(room, 1) - room  # bits from the subframe's first sample
-    start += (~warm) * (side + 10)[:, None]
+    start += np.where(warm, 0, (side + 10)[:, None])
     body = 8 + start[:, -1] + room[:, -1]
     length = head_len + 1 + (body + 7) // 8 + 2
     at = np.cumsum(length) - length
     total = int(length.sum())
-    out = np.zeros(total + 8, np.float64)
-
-    def put(bit: np.ndarray, width: np.ndarray | int, value: np.ndarray) -> None:
-        """Add values of up to 16 bits at bit positions; fields never overlap, so sums are unions."""
-        byte, end = bit >> 3, (bit & 7) + width
-        v = value << (24 - end)
+    first = (at + head_len + 1) * 8
+    # fields of up to 16 bits at bit positions never overlap, so sums of their bytes are unions
+    bit = (first[:, None] + 8 + start + quotient).ravel()
+    byte = bit >> 3
+    shifted = value.ravel() << (24 - (bit & 7) - width.ravel())
+    out = np.bincount(byte, weights=shifted >> 16, minlength=total + 8)
+    out[1:] += np.bincount(byte, weights=shifted >> 8 & 0xFF, minlength=total + 7)[: total + 7]
+    late = np.flatnonzero(shifted & 0xFF)
+    out[2:] += np.bincount(byte[late], weights=shifted[late] & 0xFF, minlength=total + 6)[: total + 6]
+
+    def put(bit: np.ndarray, width: int, value: np.ndarray) -> None:
+        """One field a frame."""
+        v = value.astype(np.int64) << (24 - (bit & 7) - width)
         for j in range(3):
-            out[:] += np.bincount(byte + j, weights=(v >> (16 - 8 * j)) & 0xFF, minlength=len(out))
+            np.add.at(out, (bit >> 3) + j, v >> (16 - 8 * j) & 0xFF)
 
-    first = (at + head_len + 1) * 8
-    put((first[:, None] + 8 + start + quotient).ravel(), width.ravel(), value.ravel())
-    put(first, 8, np.where(pick == 5, (32 + LPC_ORDER - 1) << 1, (8 + order) << 1))
+    put(first, 8, np.where(linear, (32 + LPC_ORDER - 1) << 1, (8 + order) << 1))
     after_warm = first + 8 + 8 * order
-    lin = np.flatnonzero(pick == 5)
+    lin = np.flatnonzero(linear)
     put(after_warm[lin], 4, np.full(len(lin), LPC_PRECISION - 1))
     put(after_warm[lin] + 4, 5, shift[lin])
     for j in range(LPC_ORDER):
