@@ -6,10 +6,11 @@ from .bpe_words import op3_bpe_words
 from .flac import op5_flac
 from .minhash_dedup import op1_near_duplicates
 from .mixing import op9_mixing
+from .pii import op4_pii
 from .quality_rules import op8_quality
 from .substring_dedup import op10_substring_dedup
 from .token_counts import op2_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_token_counts, op3_bpe_words, op5_flac, op8_quality, op9_mixing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_token_counts, op3_bpe_words, op4_pii, op5_flac, op8_quality, op9_mixing, op10_substring_dedup)}
 
 ORACLES: dict[str, str] = {}
