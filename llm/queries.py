@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import run
+
 from .bpe_words import op3_bpe_words
 from .flac import op5_flac
+from .license_scan import op7_licenses
+from .line_dedup import op6_line_dedup
 from .minhash_dedup import op1_near_duplicates
 from .mixing import op9_mixing
 from .pii import op4_pii
@@ -11,6 +15,7 @@ from .quality_rules import op8_quality
 from .substring_dedup import op10_substring_dedup
 from .token_counts import op2_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_token_counts, op3_bpe_words, op4_pii, op5_flac, op8_quality, op9_mixing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_token_counts, op3_bpe_words, op4_pii, op5_flac, op6_line_dedup, op7_licenses, op8_quality, op9_mixing, op10_substring_dedup)}
+QUERIES["pipeline"] = run
 
 ORACLES: dict[str, str] = {}
