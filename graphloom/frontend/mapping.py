@@ -40,6 +40,8 @@ RENAMED = {
     "starMap": "quotedTriplesMap",
     "predicates": "predicate",
     "returnMap": "returnMap",
+    "valueMap": "inputValueMap",
+    "value": "inputValue",
 }
 TYPES = {"IRI": "iri", "URI": "iri", "BlankNode": "bnode", "Literal": "literal", "RDFstarTriple": "star", "StarTriple": "star"}
 EXTENSIONS = {
@@ -184,6 +186,8 @@ class Builder:
         if kind == "quotedTriplesMap":
             return TermMap("quoted", value, "star", joins=joins)
         if kind == "constant":
+            if isinstance(value, Literal) and local(g.one(spec, "termType")) in ("IRI", "URI"):
+                value = IRI(value.value)
             return self.checked(TermMap("constant", value, self.kind_of(value)), position)
         if named is not None:
             if local(named) not in TYPES:

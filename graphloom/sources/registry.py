@@ -75,7 +75,8 @@ class Sources:
         header = first[0] if first else ""
         if sep is None:
             # a comma unless the header shows the references under another delimiter
-            sep = next((d for d in (",", ";", "\t", "|") if not refs or set(refs) <= {x.strip().strip('"') for x in header.split(d)}), ",")
+            marks = (",", ";", "\t", "|")
+            sep = next((d for d in marks if (set(refs) <= {x.strip().strip('"') for x in header.split(d)} if refs else d in header)), ",")
         names = next(iter(__import__("csv").reader([header.lstrip("﻿")], delimiter=sep)), [])
         from pyspark.sql import types as T
 
@@ -111,7 +112,19 @@ class Sources:
             df.createOrReplaceTempView(name)
             return f"{m[1]}`{name}`"
 
-        text = re.sub(r"""(\b(?:from|join)\s+|,\s*)['"]([^'"]+\.(?:csv|tsv|parquet|json|orc))['"]""", view, source.query, flags=re.IGNORECASE)
+        def reader(m: re.Match) -> str:
+            options = dict(re.findall(r"(\w+)\s*=\s*'([^']*)'", m[2]))
+            name = "file_" + re.sub(r"\W", "_", m[1])
+            self.read_csv(Source("csv", m[1]), [], options.get("delim") or options.get("sep") or ",").createOrReplaceTempView(name)
+            return f"`{name}`"
+
+        text = re.sub(r"\bread_csv(?:_auto)?\(\s*'([^']+)'([^)]*)\)", reader, source.query, flags=re.IGNORECASE)
+        # forms of the usual file-query dialect that Spark spells otherwise
+        text = re.sub(r"\bjson_extract_string\s*\(", "get_json_object(", text, flags=re.IGNORECASE)
+        text = re.sub(r"\bunnest\s*\(", "explode(", text, flags=re.IGNORECASE)
+        listed = r"""transform(split(regexp_replace(\1, '^\\\\s*[\\\\[]|[\\\\]]\\\\s*$', ''), '\\\\s*,\\\\s*'), x -> regexp_replace(x, '^[\\\\x22\\\\x27]|[\\\\x22\\\\x27]$', ''))"""
+        text = re.sub(r"((?:\w+\([^()]*\))|\w+)::(?:VARCHAR|TEXT)\[\]", listed, text, flags=re.IGNORECASE)
+        text = re.sub(r"""(\b(?:from|join)\s+|,\s*)['"]([^'"]+\.(?:csv|tsv|parquet|json|orc))['"]""", view, text, flags=re.IGNORECASE)
         text = re.sub(r'"([^"]*)"', lambda m: "`" + m[1] + "`", text)
         return self.spark.sql(text)
 

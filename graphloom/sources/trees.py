@@ -120,6 +120,8 @@ def reference_values(record: Any, ref: str, steps: list) -> list[str]:
         x, left = todo.pop(0)
         if left and isinstance(x, list) and left[0][0] == "name":
             todo = [(y, left) for y in x] + todo
+        elif left and left[0][0] == "any" and isinstance(x, list):
+            continue  # inside a reference, .* is for members of an object
         elif left:
             todo = [(y, left[1:]) for y in walk(x, left[:1])] + todo
         else:
@@ -189,6 +191,8 @@ def xml_rows(docs: DataFrame, iterator: str, refs: list[str]) -> DataFrame:
             found = root.findall("." + iterator, named)
             name = iterator[2:]
             found = ([root] if root.tag == name else []) + found
+        elif not iterator.startswith("/"):
+            found = find(root, iterator)
         else:
             head, _, rest = iterator.strip("/").partition("/")
             tag = re.sub(r"\[.*", "", head)
