@@ -60,7 +60,8 @@ class KnowledgeGraph:
                         raise MappingError(f"triples map {r} is in two sections")
                 rules += found
         sources = Sources(spark, dict(memory or {}), c.sections, root)
-        return cls(spark, rules, Engine(sources, c.options), c)
+        keys = {k: tuple(x.strip() for x in v.split(",")) for o in c.sections.values() for k, _, v in (p.partition(":") for p in o.get("keys", "").split(";")) if v}
+        return cls(spark, rules, Engine(sources, c.options, keys), c, keys)
 
     @classmethod
     def from_mapping(cls, spark: SparkSession, text: str, memory: dict[str, object] | None = None, root: str = "", yarrrml: bool = False, **options) -> KnowledgeGraph:
@@ -69,7 +70,7 @@ class KnowledgeGraph:
 
         keys = options.pop("keys", {})
         rules = read_mapping(text, "m.yml" if yarrrml else "m.ttl")
-        return cls(spark, rules, Engine(Sources(spark, dict(memory or {}), {}, root), Options(**options)), keys=keys)
+        return cls(spark, rules, Engine(Sources(spark, dict(memory or {}), {}, root), Options(**options), keys), keys=keys)
 
     def quads(self) -> DataFrame:
         """s, p, o, g as N-Triples texts, each quad once."""

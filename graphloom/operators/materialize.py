@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from ..functions import Functions
 from ..model import MappingError, Rule, TermMap
 from ..plans.partition import disjoint_groups
 from ..sources import Sources
-from ..terms import Options, TermCompiler, na, references, text_of
+from ..terms import Options, TermCompiler, na, present, references, text_of
 
 QUAD = "struct<s:string,p:string,o:string,g:string>"
 
@@ -26,8 +27,8 @@ QUAD = "struct<s:string,p:string,o:string,g:string>"
 class Engine:
     """Compiles rules against sources."""
 
-    def __init__(self, sources: Sources, options: Options | None = None) -> None:
-        self.sources, self.o = sources, options or Options()
+    def __init__(self, sources: Sources, options: Options | None = None, keys: dict[str, tuple[str, ...]] | None = None) -> None:
+        self.sources, self.o, self.keys = sources, options or Options(), keys or {}
         self.functions = Functions(self.o.compat)
         self.o.call = lambda call, column: self.functions.value(call, column).text()
 
@@ -48,20 +49,38 @@ class Engine:
                 out += references(t)
         return list(dict.fromkeys(out))
 
-    def rows(self, source, refs: list[str]) -> tuple[DataFrame, dict[str, T.DataType]]:
-        """The references as texts, NA values as null; and the types that they had."""
+    def rows(self, source, refs: list[str], needed: Iterable[str] = ()) -> tuple[DataFrame, dict[str, T.DataType]]:
+        """The references as texts, NA values as null; and the types that they had.
+
+        Rows without a ``needed`` reference are left out at the scan. Whole
+        numbers come a second time, as such, under #name: joins and constants
+        on them need no texts.
+        """
         df = self.sources.read(source, refs)
         types = {f.name: f.dataType for f in df.schema}
         if not refs:
             return df, types
-        return df.select(*(na(text_of(F.col(f"`{r}`"), types[r]), self.o.na_values).alias(r) for r in refs)), types
+        needed = set(needed)
+        for r in refs:
+            if r in needed:
+                df = df.where(present(F.col(f"`{r}`"), self.o.na_values, types[r]))
+        text = lambda r: text_of(F.col(f"`{r}`"), types[r])
+        out = [(text(r) if r in needed else na(text(r), self.o.na_values, types[r])).alias(r) for r in refs]
+        return df.select(*out, *(F.col(f"`{r}`").cast("long").alias("#" + r) for r in refs if isinstance(types[r], T.IntegralType))), types
+
+    def same(self, df: DataFrame, other: DataFrame, child: str, parent: str, prefix: str) -> Column:
+        """Equality of a child's and a parent's column: of numbers if both are whole, else of texts."""
+        if "#" + child in df.columns and f"{prefix}#{parent}" in other.columns:
+            child, parent = "#" + child, "#" + parent
+        return F.col(f"`{child}`") == F.col(f"`{prefix}{parent}`")
 
     def compiler(self, prefix: str, types: dict, base: str) -> TermCompiler:
         return TermCompiler(lambda r: F.col(f"`{prefix}{r}`"), self.o, base, types)
 
-    def joined(self, rule: Rule) -> tuple[DataFrame, dict[str, str], dict]:
+    def joined(self, rule: Rule, more: Iterable[str] = (), needed: Iterable[str] = ()) -> tuple[DataFrame, dict[str, str], dict]:
         """The rule's rows with those of the maps that it joins, under prefixed names."""
-        df, types = self.rows(rule.source, self.columns_of(rule))
+        children = [c for t in (rule.subject, rule.object) for c, _ in t.joins]
+        df, types = self.rows(rule.source, list(dict.fromkeys([*self.columns_of(rule), *more])), {*needed, *children})
         prefixes: dict[str, str] = {}
         for position in ("subject", "object"):
             t: TermMap = getattr(rule, position)
@@ -70,38 +89,30 @@ class Engine:
                     raise MappingError("a referencing object map over another source needs a join condition")
                 continue
             prefix = f"{position[0]}."
-            other, _ = self.joined_value(t, prefix)
-            condition = [F.col(f"`{c}`") == F.col(f"`{prefix}{p}`") for c, p in t.joins]
-            df = df.join(other, condition)
+            other = self.joined_value(t, prefix)
+            df = df.join(other, [self.same(df, other, c, p, prefix) for c, p in t.joins])
             prefixes[position] = prefix
         return df, prefixes, types
 
-    def joined_value(self, t: TermMap, prefix: str) -> tuple[DataFrame, dict]:
+    def joined_value(self, t: TermMap, prefix: str) -> DataFrame:
         """Rows of a parent or quoted map: what its term needs, and the join's columns, prefixed."""
         target: Rule = t.value
-        keys = [p for _, p in t.joins]
+        keys = list(dict.fromkeys(p for _, p in t.joins))
         if t.kind == "parent":
             refs = list(dict.fromkeys(keys + references(target.subject)))
-            df, types = self.rows(target.source, refs)
-            df = df.dropna(subset=keys).dropDuplicates()
-            return df.select(*(F.col(f"`{r}`").alias(prefix + r) for r in refs)), types
-        inner = Rule(target.name, target.source, target.subject, target.predicate, target.object, target.graph, base=target.base)
-        df, prefixes, types = self.joined_with(inner, keys)
-        text = self.quoted_text(inner, prefixes, types, "")
-        out = df.select(*(F.col(f"`{k}`").alias(prefix + k) for k in dict.fromkeys(keys)), text.alias(prefix + "_quoted"))
-        return out.where(F.col(f"`{prefix}_quoted`").isNotNull()).dropDuplicates(), types
-
-    def joined_with(self, rule: Rule, more: list[str]) -> tuple[DataFrame, dict[str, str], dict]:
-        df, types = self.rows(rule.source, list(dict.fromkeys(self.columns_of(rule) + more)))
-        prefixes: dict[str, str] = {}
-        for position in ("subject", "object"):
-            t: TermMap = getattr(rule, position)
-            if t.kind in ("parent", "quoted") and t.joins:
-                prefix = f"{position[0]}."
-                other, _ = self.joined_value(t, prefix)
-                df = df.join(other, [F.col(f"`{c}`") == F.col(f"`{prefix}{p}`") for c, p in t.joins])
-                prefixes[position] = prefix
-        return df, prefixes, types
+            df, _ = self.rows(target.source, refs, refs)
+            df = df if set(self.keys.get(target.source.location, ("",))) <= set(refs) else df.dropDuplicates()
+            return df.select(*(F.col(f"`{c}`").alias(prefix + c) for c in df.columns))
+        df, prefixes, types = self.joined(target, keys, keys)
+        text = self.quoted_text(target, prefixes, types, "")
+        whole = [c for c in df.columns if c in {"#" + k for k in keys}]
+        out = df.select(*(F.col(f"`{c}`").alias(prefix + c) for c in [*keys, *whole]), text.alias(prefix + "_quoted"))
+        return out.where(F.col(f"`{prefix}_quoted`").isNotNull()).dropDuplicates()
+
+    def required(self, rule: Rule) -> list[str]:
+        """Source columns without which the rule's row makes no quad: those of templates and references."""
+        maps = [t for t in (rule.subject, rule.predicate, rule.object, rule.graph) if t is not None]
+        return [c for t in maps if t.kind in ("template", "reference") for c in references(replace(t, datatype=None, lang=None))]
 
     # -- terms
 
@@ -136,9 +147,8 @@ class Engine:
 
     def exploded(self, rule: Rule) -> DataFrame:
         """A rule with a list-valued function: the list's elements become rows, under a column of their own."""
-        from dataclasses import replace
-
         df, prefixes, types = self.joined(rule)
+        df = df.select(*(F.col(f"`{c}`") for c in df.columns))
         for position in self.explodes(rule):
             t: TermMap = getattr(rule, position)
             name = f"_list_{position}"
@@ -176,6 +186,8 @@ class Engine:
                 df, types = self.rows(source, refs)
                 quads = [self.quad(r, {}, types) for r in own]
                 if len(quads) == 1:
+                    df, types = self.rows(source, refs, self.required(own[0]))
+                    quads = [self.quad(own[0], {}, types)]
                     parts.append(df.select(quads[0].alias("q")).where("q is not null").select("q.*"))
                 else:
                     parts.append(df.select(F.explode(F.array_compact(F.array(*quads))).alias("q")).select("q.*"))

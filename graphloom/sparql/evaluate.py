@@ -436,11 +436,11 @@ class Evaluator:
             return self.text_frame(triples[0], first, graph), False
         if len(rules) > 1:
             refs = list(dict.fromkeys(c for r in rules for c in self.e.columns_of(r)))
-            df, types = self.e.rows(first.source, refs)
+            df, types = self.e.rows(first.source, refs, [c for r in rules for c in self.e.required(r)])
             prefixes: dict[str, str] = {}
         else:
-            df, prefixes, types = self.e.joined(first)
-        raw_types = {**types}
+            df, prefixes, types = self.e.joined(first, (), self.e.required(first))
+        there = set(df.columns)
         conditions: list[Column] = []
         out: dict[str, Column] = {}
         keys: dict[str, tuple[tuple, list[tuple[str, Column]]]] = {}
@@ -454,11 +454,11 @@ class Evaluator:
                     t = t.value.subject
                 c = self.e.compiler(prefix, types, r.base).term(t)
                 if t.kind != "constant":
-                    need += [F.col(f"`{prefix}{ref}`").isNotNull() for ref in references(t)] if t.kind != "function" else [c.value.isNotNull()]
+                    need += [F.col(f"`{prefix}{ref}`").isNotNull() for ref in references(t) if prefix or ref not in self.e.required(r)] if t.kind != "function" else [c.value.isNotNull()]
                     if t.kind == "reference" and t.term == "iri":
                         need.append(c.value.isNotNull())
                 if not isinstance(x, Var):
-                    conditions += self.equal(t, x, prefix, c)
+                    conditions += self.equal(t, x, prefix, c, there)
                     continue
                 v = str(x)
                 made = c.struct()
@@ -467,8 +467,10 @@ class Evaluator:
                     continue
                 out[v] = made
                 if invertible(t, self.e.o.safe):
-                    signature = tuple(("ref",) if is_ref else text for is_ref, text in template_parts(str(t.value)))
-                    keys[v] = (signature, [(f"k{next(self.n)}", F.col(f"`{prefix}{ref}`")) for ref in references(t)])
+                    # whole numbers are compared as numbers: their columns' kind is part of the signature
+                    whole = lambda ref, prefix=prefix: f"{prefix}#{ref}" in there
+                    signature = tuple(("ref", whole(text)) if is_ref else text for is_ref, text in template_parts(str(t.value)))
+                    keys[v] = (signature, [(f"k{next(self.n)}", F.col(f"`{prefix}{'#' if whole(ref) else ''}{ref}`")) for ref in references(t)])
         for c in [*need, *conditions]:
             df = df.where(c)
         df = df.select(*(c.cast(TERM).alias(f"v_{v}") for v, c in out.items()), *(c.alias(n) for _, cols in keys.values() for n, c in cols), F.lit(1).alias("_unit"))
@@ -483,13 +485,14 @@ class Evaluator:
         key = self.unique.get(r.object.value.source.location)
         return key is not None and set(key) <= {p for _, p in r.object.joins}
 
-    def equal(self, t: TermMap, x, prefix: str, c) -> list[Column]:
+    def equal(self, t: TermMap, x, prefix: str, c, there: set[str]) -> list[Column]:
         """Conditions under which a term map gives a constant, on source columns where that is possible."""
         if t.kind == "constant":
             return []
         if isinstance(x, IRI) and invertible(t, self.e.o.safe):
             values = template_match(t, str(x))
-            return [F.col(f"`{prefix}{n}`") == v for n, v in (values or {}).items()] or [F.lit(values is not None)]
+            number = lambda n, v: f"{prefix}#{n}" in there and re.fullmatch(r"0|-?[1-9]\d{0,17}", v)
+            return [F.col(f"`{prefix}#{n}`") == int(v) if number(n, v) else F.col(f"`{prefix}{n}`") == v for n, v in (values or {}).items()] or [F.lit(values is not None)]
         if isinstance(x, Literal) and t.kind == "reference" and (t.datatype is None or t.datatype.kind == "constant") and t.lang is None and not self.e.o.infer_datatypes and x.lang is None:
             return [c.value == x.value] if (x.datatype or None) == (None if t.datatype is None else str(t.datatype.value)) or x.datatype is None and t.datatype is None else [F.lit(False)]
         return [c.struct().cast(TERM) == constant(x).cast(TERM)]

@@ -207,10 +207,27 @@ class TermCompiler:
         return Cols("literal", value, datatype, lang)
 
 
-def na(column: Column, values: tuple[str, ...]) -> Column:
+def possible(values: tuple[str, ...], kind: T.DataType) -> list[str]:
+    """Those NA values that a column of this type can have as its text."""
+    if isinstance(kind, T.IntegralType | T.BooleanType | T.DateType | T.TimestampType):
+        return [v for v in values if re.match(r"[-+\dtf]", v)]
+    if isinstance(kind, T.DoubleType | T.FloatType):
+        return [v for v in values if v] + (["NaN"] if "nan" in values else [])
+    return list(values)
+
+
+def na(column: Column, values: tuple[str, ...], kind: T.DataType | None = None) -> Column:
+    values = possible(values, kind) if kind is not None else values
     return F.when(~column.isin(*values), column) if values else column
 
 
+def present(raw: Column, values: tuple[str, ...], kind: T.DataType) -> Column:
+    """A source column holds a value: in a form that reaches the scan where it can."""
+    able = possible(values, kind)
+    text = raw if isinstance(kind, T.StringType) else text_of(raw, kind)
+    return raw.isNotNull() & ~text.isin(*able) if able else raw.isNotNull()
+
+
 def node_text(n: IRI | BNode | Literal) -> str:
     """The N-Triples form of a constant."""
     if isinstance(n, Literal):
