@@ -11,18 +11,16 @@ _COMPARISON = r"""^\s*(?:'([^']*)'|"([^"]*)"|([-+.\w]+))\s*(==|!=|<=|>=|<|>)\s*(
 def truth(s: Column) -> Column:
     """true or false, or a comparison of two literals (numbers by value, texts as such); null for anything else."""
     part = lambda *g: F.concat(*(F.regexp_extract(s, _COMPARISON, i) for i in g))
-    a, b, op = part(1, 2, 3), part(5, 6, 7), part(4)
-    quoted = (part(1, 2) != "") | (part(5, 6) != "")
-    x, y = a.try_cast("double"), b.try_cast("double")
-    numeric = x.isNotNull() & y.isNotNull() & ~quoted
-
-    def by(f):
-        return F.when(numeric, f(x, y)).otherwise(f(a, b))
-
-    compared = (
-        F.when(op == "==", by(lambda p, q: p == q)).when(op == "!=", by(lambda p, q: p != q)).when(op == "<=", by(lambda p, q: p <= q))
-        .when(op == ">=", by(lambda p, q: p >= q)).when(op == "<", by(lambda p, q: p < q)).when(op == ">", by(lambda p, q: p > q))
-    )
+    parts = F.struct(part(1, 2, 3).alias("a"), part(4).alias("op"), part(5, 6, 7).alias("b"), part(1, 2, 5, 6).alias("quoted"))
+
+    def sign(r: Column) -> Column:
+        x, y = r["a"].try_cast("double"), r["b"].try_cast("double")
+        by_text = F.when(r["a"] < r["b"], -1.0).when(r["a"] > r["b"], 1.0).otherwise(0.0)
+        return F.struct(r["op"].alias("op"), F.when(x.isNotNull() & y.isNotNull() & (r["quoted"] == ""), F.signum(x - y)).otherwise(by_text).alias("c"))
+
+    # each step's value is bound once, not copied into every use
+    told = F.transform(F.transform(F.array(parts), sign), lambda r: F.when(r["c"] < 0, r["op"].isin("<", "<=", "!=")).when(r["c"] > 0, r["op"].isin(">", ">=", "!=")).otherwise(r["op"].isin("==", "<=", ">=")))
+    compared = F.get(told, F.lit(0))
     low = F.lower(F.trim(s))
     return F.when(low.isin("true", "false"), low == "true").when(s.rlike(_COMPARISON), compared)
 

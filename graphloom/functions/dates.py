@@ -5,7 +5,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .registry import Args, FunctionError, Value, fn
+from .registry import Args, Value, fn
 
 #: Strptime codes as Java patterns.
 CODES = {"Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "f": "SSSSSS", "p": "a", "B": "MMMM", "b": "MMM", "A": "EEEE", "a": "EEE", "z": "xx", "Z": "z", "j": "DDD", "%": "%"}
@@ -34,15 +34,6 @@ def iso(t: Column) -> Column:
     return F.regexp_replace(s, r"\.000000$", "")
 
 
-def _constant(a: Args, name: str) -> str:
-    """The text of a constant argument: patterns and units are part of the plan."""
-    v = a.value(name).col
-    m = re.fullmatch(r"Column<'(.*)'>", str(v), re.DOTALL)
-    if not m:
-        raise FunctionError(f"{a.name} needs a constant {name}")
-    return m[1]
-
-
 def _parse(a: Args, pattern: str) -> Value:
     s = a.text("valueParameter")
     zoned = bool(re.search(r"X+$|x+$", pattern))
@@ -52,12 +43,12 @@ def _parse(a: Args, pattern: str) -> Value:
 
 @fn("grel.ttl#date_toDate")
 def to_date(a: Args) -> Value:
-    return _parse(a, quote_letters(_constant(a, "p_string_pattern")))
+    return _parse(a, quote_letters(a.constant("p_string_pattern")))
 
 
 @fn("built-in.ttl#date_toDate")
 def to_date_strptime(a: Args) -> Value:
-    return _parse(a, java_pattern(_constant(a, "p_string_pattern")))
+    return _parse(a, java_pattern(a.constant("p_string_pattern")))
 
 
 @fn("grel.ttl#date_now")

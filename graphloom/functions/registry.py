@@ -24,6 +24,7 @@ class Value:
 
     col: Column
     kind: str = "text"
+    const: str | None = None  # the text, where it is the same for all rows
 
     def text(self) -> Column:
         if self.kind == "double":
@@ -51,6 +52,13 @@ class Args:
     def text(self, *names: str) -> Column:
         return self.value(*names).text()
 
+    def constant(self, name: str) -> str:
+        """The text of a constant argument: patterns are part of the plan."""
+        v = self.value(name).const
+        if v is None:
+            raise FunctionError(f"{self.name} needs a constant {name}")
+        return v
+
     def opt(self, name: str) -> Column | None:
         return self.given[name][0].text() if self.has(name) else None
 
@@ -142,7 +150,7 @@ class Functions:
         from ..frontend.mapping import template_parts
 
         if t.kind == "constant":
-            return Value(F.lit(str(t.value)))
+            return Value(F.lit(str(t.value)), "text", str(t.value))
         if t.kind == "reference":
             return Value(column(str(t.value)))
         return Value(F.concat(*(column(x) if r else F.lit(x) for r, x in template_parts(str(t.value)))))

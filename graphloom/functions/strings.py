@@ -1,5 +1,7 @@
 """String functions."""
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -165,12 +167,8 @@ def replace(a: Args) -> Value:
 @fn("grel.ttl#string_match")
 def match(a: Args) -> Value:
     """All matches; of a pattern with a group, the group."""
-    from .dates import _constant
-
-    pattern = _constant(a, "p_string_regex")
+    pattern = a.constant("p_string_regex")
     pattern = pattern[1:-1] if len(pattern) > 1 and pattern[0] == pattern[-1] == "/" else pattern
-    import re
-
     return Value(F.regexp_extract_all(a.text("valueParameter"), F.lit(pattern), 1 if re.compile(pattern).groups else 0), "list")
 
 

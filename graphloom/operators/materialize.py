@@ -133,14 +133,20 @@ class Engine:
         return F.concat(F.lit("<< "), s, F.lit(" "), p, F.lit(" "), o, F.lit(" >>"))
 
     def quad(self, rule: Rule, prefixes: dict[str, str], types: dict) -> Column:
-        """A quad struct; null where a term is missing."""
+        """A quad struct; s, p or o is null where the row makes no quad. Each term is in the plan once."""
         c = self.compiler("", types, rule.base)
         s, o = (self.position(rule, x, prefixes, types) for x in ("subject", "object"))
         p = c.term(rule.predicate).text(self.o)
-        g = c.term(rule.graph).text(self.o) if rule.graph is not None else F.lit(None).cast("string")
-        whole = s.isNotNull() & p.isNotNull() & o.isNotNull()
-        whole = whole & g.isNotNull() if rule.graph is not None else whole
-        return F.when(whole, F.struct(s.alias("s"), p.alias("p"), o.alias("o"), g.alias("g")))
+        g = F.lit(None).cast("string")
+        if rule.graph is not None:
+            g = c.term(rule.graph).text(self.o)
+            p = F.when(g.isNotNull(), p)
+        return F.struct(s.alias("s"), p.alias("p"), o.alias("o"), g.alias("g"))
+
+    @staticmethod
+    def whole(quads: DataFrame) -> DataFrame:
+        """Rows of one column q that are quads."""
+        return quads.select("q.*").where("s is not null and p is not null and o is not null")
 
     def explodes(self, rule: Rule) -> list[str]:
         return [x for x in ("subject", "predicate", "object", "graph") if (t := getattr(rule, x)) is not None and t.kind == "function" and self.functions.explode(t.value)]
@@ -156,7 +162,7 @@ class Engine:
             df = df.withColumn(name, F.explode(v.col.cast("array<string>")))
             df = df.where(na(F.col(name), self.o.na_values).isNotNull())
             rule = replace(rule, **{position: replace(t, kind="reference", value=name)})
-        return df.select(self.quad(rule, prefixes, types).alias("q")).where("q is not null").select("q.*")
+        return self.whole(df.select(self.quad(rule, prefixes, types).alias("q")))
 
     # -- rules
 
@@ -172,7 +178,7 @@ class Engine:
                 continue
             if any(t.kind in ("parent", "quoted") and t.joins for t in (r.subject, r.object)) or r.source.kind in ("json", "xml", "http", "memory"):
                 df, prefixes, types = self.joined(r)
-                parts.append(df.select(self.quad(r, prefixes, types).alias("q")).where("q is not null").select("q.*"))
+                parts.append(self.whole(df.select(self.quad(r, prefixes, types).alias("q"))))
                 continue
             shared[r.source].append(r)
         for source, own in shared.items():
@@ -180,7 +186,7 @@ class Engine:
             own = [r for r in own if self.columns_of(r)]
             if constant:
                 one = self.sources.spark.range(1)
-                parts.append(one.select(F.inline(F.array(*(self.quad(r, {}, {}) for r in constant)))))
+                parts.append(self.whole(one.select(F.explode(F.array(*(self.quad(r, {}, {}) for r in constant))).alias("q"))))
             if own:
                 refs = list(dict.fromkeys(c for r in own for c in self.columns_of(r)))
                 df, types = self.rows(source, refs)
@@ -188,9 +194,9 @@ class Engine:
                 if len(quads) == 1:
                     df, types = self.rows(source, refs, self.required(own[0]))
                     quads = [self.quad(own[0], {}, types)]
-                    parts.append(df.select(quads[0].alias("q")).where("q is not null").select("q.*"))
+                    parts.append(self.whole(df.select(quads[0].alias("q"))))
                 else:
-                    parts.append(df.select(F.explode(F.array_compact(F.array(*quads))).alias("q")).select("q.*"))
+                    parts.append(self.whole(df.select(F.explode(F.array(*quads)).alias("q"))))
         if not parts:
             return self.sources.spark.createDataFrame([], "s string, p string, o string, g string")
         out = parts[0]
