@@ -170,6 +170,9 @@ class Functions:
 
             out = []
             for row in zip(*cols, strict=True):
+                if any(x is None for x in row):  # a missing reference makes no term
+                    out.append(None)
+                    continue
                 try:
                     r = f(**{n: (list(x) if many else x) for (n, many), x in zip(names, row, strict=True)})
                 except Exception as e:  # noqa: BLE001

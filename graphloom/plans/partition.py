@@ -23,7 +23,7 @@ def invariant(t: TermMap | None) -> tuple[str, str, bool]:
     return t.term, "", False
 
 
-def _apart(a: tuple[str, str, bool], b: tuple[str, str, bool]) -> bool:
+def apart(a: tuple[str, str, bool], b: tuple[str, str, bool]) -> bool:
     """No value can have both invariants."""
     if a[0] != b[0]:
         return True
@@ -35,7 +35,7 @@ def _apart(a: tuple[str, str, bool], b: tuple[str, str, bool]) -> bool:
 
 def may_meet(a: Rule, b: Rule) -> bool:
     """Both rules could make the same quad."""
-    return not any(_apart(invariant(getattr(a, x)), invariant(getattr(b, x))) for x in ("subject", "predicate", "object", "graph"))
+    return not any(apart(invariant(getattr(a, x)), invariant(getattr(b, x))) for x in ("subject", "predicate", "object", "graph"))
 
 
 def disjoint_groups(rules: list[Rule]) -> dict[str, list[Rule]]:

@@ -23,7 +23,7 @@ from ..frontend.mapping import template_parts
 from ..model import IRI, Literal, Rule, TermMap
 from ..operators.materialize import Engine
 from ..plans.fixpoint import closure
-from ..plans.partition import invertible
+from ..plans.partition import apart, invariant, invertible
 from ..terms import TERM, escape, node_text, references
 from .expressions import Expressions, V, constant
 from .parser import Parser, Query, QueryError, Var, variables
@@ -357,15 +357,17 @@ class Evaluator:
     # -- basic graph patterns
 
     def bgp(self, triples: list, graph=None) -> Frame:
-        left = self.order(triples)
+        choices = self.choices(triples, graph)
+        # patterns with more constants and fewer rules first
+        left = sorted(choices, key=lambda x: (sum(isinstance(y, Var) for y in x[0]), len(x[1])))
         frames: list[Frame] = []
         used: set[int] = set()
-        for i, t in enumerate(left):
+        for i, x in enumerate(left):
             if i in used:
                 continue
-            together = [t]
+            together = [x]
             for j in range(i + 1, len(left)):
-                if j not in used and self.same_scan(t, left[j], graph):
+                if j not in used and self.same_scan(x, left[j], graph):
                     together.append(left[j])
                     used.add(j)
             frames.append(self.triples(together, graph))
@@ -375,10 +377,28 @@ class Evaluator:
             out = self.join(out, frames.pop(i))
         return out
 
-    def order(self, triples: list) -> list:
-        """Patterns with more constants and fewer rules first."""
-        score = lambda t: (sum(isinstance(x, Var) for x in t), len(self.matching(t)))
-        return sorted(triples, key=score)
+    def choices(self, triples: list, graph) -> list[tuple[tuple, list[Rule]]]:
+        """Each pattern's rules, less those that cannot agree on a variable with any rule of another pattern."""
+        parts = ("subject", "predicate", "object")
+        rules = [self.matching(t, graph) for t in triples]
+        places: dict[str, list[tuple[int, str]]] = {}
+        for i, t in enumerate(triples):
+            for x, part in zip(t, parts, strict=True):
+                if isinstance(x, Var):
+                    places.setdefault(str(x), []).append((i, part))
+        changed = True
+        while changed:
+            changed = False
+            for at in places.values():
+                for i, part in at:
+                    for j, other in at:
+                        if i == j:
+                            continue
+                        there = [invariant(getattr(r, other)) for r in rules[j]]
+                        kept = [r for r in rules[i] if any(not apart(invariant(getattr(r, part)), y) for y in there)]
+                        changed |= len(kept) < len(rules[i])
+                        rules[i] = kept
+        return list(zip(triples, rules, strict=True))
 
     def matching(self, t: tuple, graph=None) -> list[Rule]:
         return [r for r in self.rules if all(self.may_be(getattr(r, n), x) for n, x in zip(("subject", "predicate", "object"), t, strict=True)) and self.graph_ok(r, graph)]
@@ -405,22 +425,21 @@ class Evaluator:
                 return False
         return t.kind != "template" or kind == "literal" or template_match(t, str(x)) is not None or not re.match(r"[A-Za-z][\w+.-]*:", str(t.value))
 
-    def same_scan(self, a: tuple, b: tuple, graph) -> bool:
+    def same_scan(self, a: tuple[tuple, list[Rule]], b: tuple[tuple, list[Rule]], graph) -> bool:
         """Both patterns are about one variable and each is one rule's, over the same rows of a keyed source."""
-        if not isinstance(a[0], Var) or a[0] != b[0] or graph is not None:
-            return False
-        x, y = self.matching(a), self.matching(b)
-        if len(x) != 1 or len(y) != 1:
+        (t, x), (u, y) = a, b
+        if not isinstance(t[0], Var) or t[0] != u[0] or graph is not None or len(x) != 1 or len(y) != 1:
             return False
         x, y = x[0], y[0]
         key = self.unique.get(x.source.location)
         plain = not any(self.e.explodes(r) or r.subject.kind in ("quoted", "function") or r.object.joins for r in (x, y))
-        shared = [v for v in b[1:] if isinstance(v, Var) and v in a]
+        shared = [v for v in u[1:] if isinstance(v, Var) and v in t]
         return plain and x.source == y.source and x.subject == y.subject and key is not None and set(key) <= set(references(x.subject)) and invertible(x.subject, self.e.o.safe) and not shared
 
-    def triples(self, together: list, graph) -> Frame:
-        parts = [self.rule_frame(together, [r], graph) for r in self.matching(together[0], graph)] if len(together) == 1 else [self.rule_frame(together, [self.matching(t)[0] for t in together], graph)]
-        names = list(dict.fromkeys(str(x) for t in together for x in (*t, *([graph] if graph is not None else [])) if isinstance(x, Var)))
+    def triples(self, together: list[tuple[tuple, list[Rule]]], graph) -> Frame:
+        patterns = [t for t, _ in together]
+        parts = [self.rule_frame(patterns, [r], graph) for r in together[0][1]] if len(together) == 1 else [self.rule_frame(patterns, [r[0] for _, r in together], graph)]
+        names = list(dict.fromkeys(str(x) for t in patterns for x in (*t, *([graph] if graph is not None else [])) if isinstance(x, Var)))
         if not parts:
             return Frame(self.spark.range(1).select(*(F.lit(None).cast(TERM).alias(f"v_{v}") for v in names), F.lit(1).alias("_unit")).limit(0), names)
         if len(parts) == 1:
