@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import Functions
 from ..model import MappingError, Rule, TermMap
-from ..plans.partition import disjoint_groups
+from ..plans.partition import disjoint_groups, invertible
 from ..sources import Sources
 from ..terms import Options, TermCompiler, na, present, references, text_of
 
@@ -204,9 +204,26 @@ class Engine:
             out = out.unionByName(p)
         return out
 
+    def row_unique(self, rule: Rule) -> bool:
+        """No two rows of the rule make the same quad: the subject determines a key of its source, and a join finds one parent at most."""
+        key = self.keys.get(rule.source.location)
+        if key is None or not invertible(rule.subject, self.o.safe) or not set(key) <= set(references(rule.subject)) or self.explodes(rule):
+            return False
+        if not rule.object.joins:
+            return True
+        parents = self.keys.get(rule.object.value.source.location)
+        return parents is not None and set(parents) <= {p for _, p in rule.object.joins}
+
     def materialize(self, rules: list[Rule]) -> DataFrame:
-        """The set of quads."""
-        return self.of(rules).dropDuplicates(["s", "p", "o", "g"])
+        """The set of quads. Only quads that could come twice are shuffled to remove duplicates."""
+        groups = disjoint_groups(rules)
+        free = [g[0] for g in groups.values() if len(g) == 1 and self.row_unique(g[0])]
+        rest = [r for r in rules if r.asserted and r not in free]
+        if not free:
+            return self.of(rest).dropDuplicates(["s", "p", "o", "g"])
+        if not rest:
+            return self.of(free)
+        return self.of(free).unionByName(self.of(rest).dropDuplicates(["s", "p", "o", "g"]))
 
     def grouped(self, rules: list[Rule], each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         """Quads with ``mapping_partition``: groups of rules that cannot make equal quads, each a set by itself."""
