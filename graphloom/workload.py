@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .api import KnowledgeGraph
 
@@ -205,6 +208,43 @@ mapped(
     f"SELECT {_c} AS s, {p('knows')} AS p, '<< ' || {_n} || ' ' || {p('label')} || ' ' || {lit('n_name')} || ' >>' AS o FROM customer JOIN nation ON c_nationkey = n_nationkey",
 )
 
+# -- file formats: a table is written in the format, then mapped
+
+
+def exported(spark: SparkSession, df: DataFrame, kind: str) -> str:
+    """A folder with df in a format; in the shared folder where one is set."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-")
+    path = f"{top.rstrip('/')}/{uuid.uuid4().hex}.{kind}"
+    if kind in ("csv", "tsv"):
+        df.write.option("header", True).option("sep", "," if kind == "csv" else "\t").option("escape", '"').csv(path)
+    elif kind == "orc":
+        df.write.orc(path)
+    elif kind == "json":
+        df.agg(F.to_json(F.struct(F.collect_list(F.struct(*df.columns)).alias("rows"))).alias("value")).write.text(path)
+    else:
+        cells = F.concat(*(F.concat(F.lit(f"<{c}>"), F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit(f"</{c}>")) for c in df.columns[1:]))
+        row = F.concat(F.lit(f'<row {df.columns[0]}="'), F.col(df.columns[0]).cast("string"), F.lit('">'), cells, F.lit("</row>"))
+        df.agg(F.concat(F.lit("<rows>"), F.array_join(F.collect_list(row), ""), F.lit("</rows>")).alias("value")).write.text(path)
+    return path
+
+
+def from_format(kind: str, table: str, key: str, column: str, attributes: str = "", at: str = "") -> None:
+    mapping = triples_map("F", f'rml:logicalSource [ rml:source "@OUT@" {attributes} ]', subject(f"{table}/{{{at}{key}}}"), po("ex:label", ref(column)))
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = exported(spark, spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key, column), kind)
+        return graph(spark, sf_dir, mapping.replace("@OUT@", path)).quads().select("s", "p", "o")
+
+    QUERIES[f"source_{kind}"] = query
+    ORACLES[f"source_{kind}"] = f"SELECT DISTINCT {iri(f'{table}/{{{key}}}')} AS s, {p('label')} AS p, {lit(column)} AS o FROM {table} WHERE {column} <> ''"
+
+
+from_format("csv", "documents", "doc_id", "text")
+from_format("tsv", "customer", "c_custkey", "c_name")
+from_format("orc", "orders", "o_orderkey", "o_orderpriority")
+from_format("json", "nation", "n_nationkey", "n_name", '; rml:referenceFormulation rml:JSONPath ; rml:iterator "$.rows[*]"')
+from_format("xml", "nation", "n_nationkey", "n_name", '; rml:referenceFormulation rml:XPath ; rml:iterator "/rows/row"', "@")
+
 # -- SQL views
 
 mapped("view_groupby", triples_map("V", view("SELECT l_returnflag, count(*) AS n, sum(l_linenumber) AS t FROM <<lineitem>> GROUP BY l_returnflag"), subject("flag/{l_returnflag}"), po("ex:n", ref("n", "xsd:integer")), po("ex:t", ref("t", "xsd:integer"))), "WITH v AS (SELECT l_returnflag, count(*) AS n, sum(l_linenumber) AS t FROM lineitem GROUP BY 1) " + rows((iri("flag/{l_returnflag}"), p("n"), lit("n", "integer"), "v"), (iri("flag/{l_returnflag}"), p("t"), lit("t", "integer"), "v")))
