@@ -2,10 +2,10 @@
 
 Texts are split into the tokenizer's words; a block of documents keeps its
 texts as numbers into the block's own list of distinct words. Those lists
-make one table of distinct words, each encoded once (once in CHUNK blocks,
-so that no word gathers an unbounded list of the blocks that use it). The
-ids go back to the blocks and are put in place by position. Decoding joins
-the words' ids to the vocabulary's pieces.
+are dealt out by word and sorted, so that each distinct word of the corpus
+is encoded once, however many blocks use it. The ids go back to the blocks
+and are put in place by position. Decoding joins ids to the vocabulary's
+pieces, a table of bounded size that every task holds.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,13 +29,38 @@ from .common import base, documents, pieces
 
 BLOCK = 24 << 20  # bytes of text in a block of documents
 BATCH = 1 << 15
-CHUNK = 1 << 16  # blocks; together some 1.5 TB of text
 
 #: The word pattern that the supported vocabularies are made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 
 
+#: Unicode's white space; no word crosses it.
+RUN = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+class Numbers(dict):
+    """key -> number in order of first use."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
+class Runs(dict):
+    """A run of non-white characters -> numbers of its words."""
+
+    def __init__(self, splitter: Splitter, numbers: Numbers) -> None:
+        super().__init__()
+        self.words, self.number = splitter.words, numbers.__getitem__
+
+    def __missing__(self, run: str) -> tuple[int, ...]:
+        out = tuple(map(self.number, self.words(run)))
+        if len(run) <= 64:
+            self[run] = out
+        return out
+
+
 class Splitter:
     """A text's words, as the tokenizer's normalizer and pre-tokenizer give them; special strings are words of their own."""
 
@@ -89,11 +116,19 @@ def _tokenizer(sent):
     return _TOKENIZERS[sent.value[0]]
 
 
-def decode(encoded: DataFrame, pieces_table: DataFrame, *keys: str) -> DataFrame:
-    """keys and ``pieces``, the pieces of ``ids`` joined by a space: a join of ids to the vocabulary's table, which is of bounded size."""
-    ids = encoded.select(*keys, F.posexplode("ids").alias("pos", "id"))
-    named = ids.join(F.broadcast(pieces_table), "id")
-    return named.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), " ").alias("pieces"))
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """The columns of ``encoded`` but ``ids``, and ``decoded``: the pieces of its ids joined by a space, for ids from anywhere.
+
+    A join of ids to the vocabulary's table. Null and empty arrays give an empty text; ids that are in no vocabulary are left out.
+    """
+    spark = encoded.sparkSession
+    listed = load(path)[2]
+    table = spark.createDataFrame(pd.DataFrame({"id": range(len(listed)), "piece": listed}).dropna(), "id int, piece string")
+    rows = encoded.withColumn("row_", F.monotonically_increasing_id())
+    ids = rows.select("row_", F.posexplode("ids").alias("pos", "id"))
+    named = ids.join(F.broadcast(table), "id").groupBy("row_")  # the vocabulary: bounded
+    texts = named.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), " ").alias("decoded"))
+    return rows.drop("ids").join(texts, "row_", "left").drop("row_").withColumn("decoded", F.coalesce("decoded", F.lit("")))
 
 
 def encode(docs: DataFrame, path: str, text_out: bool = True) -> DataFrame:
@@ -107,17 +142,16 @@ def encode(docs: DataFrame, path: str, text_out: bool = True) -> DataFrame:
     spark = docs.sparkSession
     spec, specials, listed = load(path)
     sent = spark.sparkContext.broadcast((hash(spec), spec))  # the vocabulary: bounded
+    vocabulary = spark.sparkContext.broadcast(listed)
     names = list(specials)
-    table = spark.createDataFrame(pd.DataFrame({"id": range(len(listed)), "piece": listed}).dropna(), "id int, piece string")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[str], list[tuple]]]:
         splitter = Splitter(names)
         for batch in pieces(batches, BLOCK):
-            local: dict[str, int] = {}
-            place, rows = local.setdefault, []
+            local = Numbers()
+            runs, rows = Runs(splitter, local), []
             for rid, doc_id, text in zip(batch.column("rid").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = splitter.words(text)
-                rows.append((rid, doc_id, np.fromiter((place(w, len(local)) for w in words), np.uint32, len(words))))
+                rows.append((rid, doc_id, np.array(list(chain.from_iterable(map(runs.__getitem__, RUN.findall(text)))), np.uint32)))
             if rows:
                 yield rows[0][0], list(local), rows
 
@@ -128,40 +162,48 @@ def encode(docs: DataFrame, path: str, text_out: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), block, np.int64)), pa.array(np.arange(at, at + len(w), dtype=np.int32)), pa.array(w, pa.string())], ["block", "i", "word"])
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for block, local, rows in blocks(batches):
             kind = np.uint16 if len(local) < 1 << 16 else np.uint32
             for at in range(0, len(rows), 500):
                 part = rows[at : at + 500]
                 # the low bytes of all codes, then the next ones: equal high bytes stand together
-                packed = [c.astype(kind).view(np.uint8).reshape(-1, kind().nbytes).T.tobytes() for _, _, c in part]
+                packed = [squeeze(c.astype(kind).view(np.uint8).reshape(-1, kind().nbytes).T.tobytes()) for _, _, c in part]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([block] * len(part), pa.int64()), pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([len(r[2]) for r in part], pa.int32()), pa.array(packed, pa.binary())],
                     ["block", "rid", "doc_id", "n", "codes"],
                 )
 
-    @F.pandas_udf("array<int>")
-    def word_ids(word: pd.Series) -> pd.Series:
-        tok = _tokenizer(sent)
-        out = [e.ids for e in tok.encode_batch(word.tolist(), add_special_tokens=False)]
-        return pd.Series([[specials[w]] if w in specials else ids for w, ids in zip(word, out, strict=True)])
+    wide = np.dtype("<u2") if len(listed) <= 1 << 16 else np.dtype("<u4")
+
+    def word_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Equal words follow one another: each is encoded once."""
+        tok, last = _tokenizer(sent), (None, b"")
+        for batch in batches:
+            found = batch.column("word").dictionary_encode()
+            new = found.dictionary.to_pylist()
+            ids = [e.ids for e in tok.encode_batch(new, add_special_tokens=False)] if new != [last[0]] else [None]
+            own = [last[1] if w == last[0] else np.array([specials[w]] if w in specials else x, wide).tobytes() for w, x in zip(new, ids, strict=True)]
+            if new:
+                last = new[-1], own[-1]
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("i"), pa.array(own, pa.binary()).take(found.indices)], ["block", "i", "ids"])
 
     used = docs.select("rid", "doc_id", "text")
-    distinct = used.mapInArrow(words, "block long, i int, word string")
-    distinct = distinct.groupBy("word", F.floor(F.col("block") / (CHUNK << 33)).alias("chunk")).agg(F.collect_list(F.struct("block", "i")).alias("at"))
-    encoded = distinct.withColumn("ids", word_ids("word"))
-    decoded = decode(encoded, table, "word", "chunk")
-    back = encoded.join(decoded, ["word", "chunk"]).select(F.explode("at").alias("at"), "ids", "pieces").select("at.block", "at.i", "ids", "pieces")
+    listed_words = used.mapInArrow(words, "block long, i int, word string")
+    dealt = listed_words.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word").sortWithinPartitions("word")
+    back = dealt.mapInArrow(word_ids, "block long, i int, ids binary")
     coded = used.mapInArrow(codes, "block long, rid long, doc_id long, n int, codes binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        i = left.column("i").to_numpy()
-        order = np.argsort(i)
-        left = left.take(pa.array(order))
-        ids = left.column("ids").to_pylist()
-        id_text = [" ".join(map(str, x)) for x in ids]
-        piece_text, n_ids = left.column("pieces").to_pylist(), np.array([len(x) for x in ids], np.int64)
-        rows = []
+        piece = vocabulary.value
+        order = np.argsort(left.column("i").to_numpy())
+        ids = [np.frombuffer(x, wide).tolist() for x in left.column("ids").take(pa.array(order)).to_pylist()]
+        piece_text = [" ".join([piece[t] for t in x]) for x in ids]  # the join of ids to pieces
+        id_text = [] if text_out else [" ".join(map(str, x)) for x in ids]
+        n_ids = np.array([len(x) for x in ids], np.int64)
+        open_up, rows = zstandard.ZstdDecompressor().decompress, []
         for rid, doc_id, n, packed in zip(*(right.column(c).to_pylist() for c in ("rid", "doc_id", "n", "codes")), strict=True):
+            packed = open_up(packed) if n else b""
             width = len(packed) // n if n else 1
             code = np.zeros(n, np.int64)
             for k in range(width if n else 0):
