@@ -9,30 +9,29 @@ symmetric difference) leave few pairs, whose similarity is verified on the
 texts. A line goes if an earlier line, by doc_id (null last), row and
 position, has that similarity, whether or not that one stays.
 
-Equal sets are one set from the start. A word's sets are first compared with
-the earliest one of them; only sets for which that shows no earlier match are
-compared with all others, so a family of near copies is not expanded into
-all pairs, and no match is lost.
+Equal sets are one set from the start. Sets that share their least or greatest
+word hash are first compared with the earliest one of them, which settles most
+of a family of near copies without expanding it into pairs; a pair is then
+skipped only if both its sets are known to go, so no match is lost.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES_SQL, base, documents, written
+from .common import base, bitmap_of, documents, fixed_array, written
 
 BUCKETS = 1 << 16
-FILTER_WORDS = 1 << 15  # longs in the fixed-size bitmap that thins out rows before a join
-
-
-def fixed_array(values: list[int], kind: str) -> Column:
-    """A literal array; split and cast are folded when the plan is optimised."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
 def words_in(line: Column) -> Column:
-    return F.filter(F.split(line, SPACES_SQL), lambda w: w != "")
+    """A line's words. Splitting at one plain character is far cheaper than at a pattern, so other white space is made blanks first."""
+    odd = reduce(lambda a, b: a | b, (line.contains(c) for c in "\t\n\x0b\x0c\r"))
+    plain = F.when(odd, F.translate(line, "\t\n\x0b\x0c\r", "     ")).otherwise(line)
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -41,25 +40,14 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def rarity(docs: DataFrame) -> list[int]:
     """For each hash bucket a number that grows with its words' count (a scaled logarithm, below 2**19)."""
-    words = docs.select(F.explode(F.split("text", SPACES_SQL)).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    words = docs.select(F.explode(words_in(F.col("text"))).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     out = [0] * BUCKETS
-    for b, r in counts.select("b", (F.log2(F.col("n") + 1) * 8000).cast("int")).collect():  # BUCKETS rows at most
+    for b, r in counts.select("b", (F.log2(F.col("n") + 1) * 20).cast("int")).collect():  # BUCKETS rows at most
         out[b] = min(r, (1 << 19) - 1)
     return out
 
 
-def bitmap_of(df: DataFrame, column: str) -> Column:
-    """A test for a long column: false only for values that ``column`` lacks. The bitmap has a fixed size, whatever the number of rows."""
-    h = F.pmod(F.xxhash64(column), F.lit(FILTER_WORDS * 64))
-    bits = df.select(h.alias("h")).groupBy(F.shiftright("h", 6).cast("int").alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("v"))
-    out = [0] * FILTER_WORDS
-    for i, v in bits.collect():  # FILTER_WORDS rows at most
-        out[i] = v
-    array = fixed_array(out, "bigint")
-    return F.getbit(F.get(array, F.shiftright(h, 6).cast("int")), h % 64) == 1
-
-
 def decisions(docs: DataFrame, threshold: float = 0.8, least: int = 3) -> DataFrame:
     """rid and ``removed`` (positions of lines to remove) of the rows of ``docs`` that lose any.
 
@@ -70,38 +58,32 @@ def decisions(docs: DataFrame, threshold: float = 0.8, least: int = 3) -> DataFr
     rare = fixed_array(rarity(docs), "int")
     low = (1 << 44) - 1
     hashes = F.array_distinct(F.transform(words_in(F.col("line")), lambda w: F.xxhash64(w)))
-    ranked = F.sort_array(F.transform("ids", lambda h: F.get(rare, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("bigint") * (1 << 44) + h.bitwiseAND(F.lit(low))))
+    rank = lambda h: F.shiftleft(F.get(rare, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("bigint"), 44) + h.bitwiseAND(F.lit(low))
     n = F.size("ids")
     take = n - F.ceil(n * threshold - 1e-9).cast("int") + 1
+    parity = F.expr("aggregate(ids, 0L, (a, h) -> a ^ shiftleft(1L, cast(h & 63 as int)))")
     lines = _lines(docs).select("rid", "doc_id", "pos", hashes.alias("ids")).where(F.size("ids") >= least)
-    powers = fixed_array([1 << i if i < 63 else -(1 << 63) for i in range(64)], "bigint")
-    parity = F.aggregate("ids", F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseXOR(F.get(powers, h.bitwiseAND(F.lit(63)).cast("int"))))
-    lines = lines.select("rid", "doc_id", "pos", n.alias("n"), ranked.alias("r"), parity.alias("parity"), take.alias("take"))
-    low32 = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)
-    lines = lines.select("rid", "doc_id", "pos", "n", "parity", F.xxhash64("r").alias("k1"), F.hash("r").alias("k2"), F.transform(F.slice("r", F.lit(1), F.col("take")), lambda x: low32(x).cast("int")).alias("prefix"))
+    lines = lines.select("rid", "doc_id", "pos", n.alias("n"), F.sort_array(F.transform("ids", rank)).alias("r"), parity.alias("parity"), take.alias("take"), F.array_min("ids").alias("lo"), F.array_max("ids").alias("hi"))
+    low32 = lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")
+    lines = lines.select("rid", "doc_id", "pos", "n", "parity", F.xxhash64("r").alias("k1"), F.hash("r").alias("k2"), F.transform(F.slice("r", F.lit(1), F.col("take")), low32).alias("prefix"), low32(F.col("lo")).alias("lo"), low32(F.col("hi")).alias("hi"))
     lines = written(lines)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "pos")
-    sets = lines.groupBy("k1", "k2").agg(F.min(F.struct(place.alias("place"), "n", "parity", "prefix")).alias("f"))
-    sets = written(sets.select("k1", "k2", F.monotonically_increasing_id().alias("sid"), "f.place", "f.n", "f.parity", "f.prefix"))
-    # one row for each prefix word: word, order of the document, set, size and position, sketch
-    doc_order = F.coalesce("place.doc_id", F.lit((1 << 63) - 1))
-    prefix = sets.select(doc_order.alias("d"), "sid", "n", "parity", F.posexplode("prefix").alias("p", "w"))
-    prefix = prefix.select("w", "d", "sid", (F.col("n") * 65536 + F.least("p", F.lit(65535))).alias("np"), "parity")
-    over = Window.partitionBy("w")
-    met = prefix.withColumn("k", F.count(F.lit(1)).over(over)).withColumn("lead", F.min(F.struct("d", "sid", "np", "parity")).over(over)).where("k > 1")
-    met = written(met.drop("k"))
-
-    def may_match(np1: Column, np2: Column, par1: Column, par2: Column) -> Column:
-        n1, n2 = (F.shiftright(x, 16) for x in (np1, np2))
-        p1, p2 = (x.bitwiseAND(F.lit(65535)) for x in (np1, np2))
+    sets = lines.groupBy("k1", "k2").agg(F.min(F.struct(place.alias("place"), "n", "parity", "prefix", "lo", "hi")).alias("f"))
+    sets = written(sets.select("k1", "k2", F.monotonically_increasing_id().alias("sid"), "f.*"))
+
+    def may_match(n1: Column, p1, n2: Column, p2, par1: Column, par2: Column) -> Column:
+        """Length and positional filters, and the sketches' distance; p: positions of a common word, the first one of both sets."""
         need = F.ceil((n1 + n2) * (threshold / (1 + threshold)) - 1e-9)
         return (F.least(n1, n2) >= F.greatest(n1, n2) * threshold - 1e-9) & (F.least(n1 - p1, n2 - p2) >= need) & (F.bit_count(par1.bitwiseXOR(par2)) <= n1 + n2 - 2 * need)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """later: sids of the sets that an earlier set of the pairs (a, b) matches."""
+    def verified(pairs: DataFrame, settled: DataFrame | None = None) -> DataFrame:
+        """sids of the sets that an earlier set of the pairs (a, b) matches; pairs whose later set is settled are left out."""
         at = sets.select("sid", "place")
         ends = pairs.join(at.withColumnRenamed("sid", "a").withColumnRenamed("place", "pa"), "a").join(at.withColumnRenamed("sid", "b").withColumnRenamed("place", "pb"), "b")
-        ends = written(ends.select("a", "b", "pa", "pb"))
+        ends = ends.select("pa", "pb", F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("later"))
+        if settled is not None:
+            ends = ends.join(settled.select(F.col("sid").alias("later")), "later", "left_anti")
+        ends = written(ends)
         wanted = ends.select(F.explode(F.array("pa", "pb")).alias("x")).select("x.rid", "x.pos").distinct()
         few = docs.where(bitmap_of(wanted, "rid"))
         tokens = _lines(few).join(wanted, ["rid", "pos"]).select("rid", "pos", F.array_distinct(words_in(F.col("line"))).alias("t"))
@@ -110,16 +92,30 @@ def decisions(docs: DataFrame, threshold: float = 0.8, least: int = 3) -> DataFr
         both = ends.join(a, (F.col("pa.rid") == F.col("ra")) & (F.col("pa.pos") == F.col("qa"))).join(b, (F.col("pb.rid") == F.col("rb")) & (F.col("pb.pos") == F.col("qb")))
         common = F.size(F.array_intersect("ta", "tb"))
         same = both.where(common >= (F.size("ta") + F.size("tb") - common) * threshold - 1e-9)
-        return written(same.select(F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("sid")).distinct())
-
-    lead = F.col("lead")
-    first = met.where((F.col("sid") != lead["sid"]) & may_match(F.col("np"), lead["np"], F.col("parity"), lead["parity"])).select(lead["sid"].alias("a"), F.col("sid").alias("b")).distinct()
-    gone = verified(first)
-    # sets without an earlier match so far, against all of their words' sets that may be earlier; pairs with the lead are known
-    x = met.join(gone, "sid", "left_anti").select("w", F.col("d").alias("xd"), F.col("sid").alias("b"), F.col("np").alias("xnp"), F.col("parity").alias("xp"), lead["sid"].alias("lead_sid"))
-    y = met.select("w", F.col("d").alias("yd"), F.col("sid").alias("a"), F.col("np").alias("ynp"), F.col("parity").alias("yp"))
-    cond = (x["w"] == y["w"]) & (y["yd"] <= x["xd"]) & (x["b"] != y["a"]) & (y["a"] != x["lead_sid"]) & may_match(F.col("xnp"), F.col("ynp"), F.col("xp"), F.col("yp"))
-    gone = gone.union(verified(x.join(y, cond).select("a", "b").distinct())).distinct()
+        return written(same.select(F.col("later").alias("sid")).distinct())
+
+    # families: each set with the earliest one of those that share an extreme hash
+    ends = sets.select("sid", "place", "n", "parity", F.posexplode(F.array("lo", "hi")).alias("which", "h"))
+    lead = ends.groupBy("which", "h").agg(F.min(F.struct("place", "sid", "n", "parity")).alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    near = ends.select("which", "h", "sid", "n", "parity").join(lead, ["which", "h"])
+    zero = F.lit(0)
+    near = near.where((F.col("sid") != F.col("lead.sid")) & may_match(F.col("n"), zero, F.col("lead.n"), zero, F.col("parity"), F.col("lead.parity")))
+    gone = verified(near.select(F.col("lead.sid").alias("a"), F.col("sid").alias("b")).distinct())
+    # the bitmap says for most sets that they are not among those; only the others are looked up
+    lean = sets.select("sid", "n", "parity", "prefix")
+    listed = bitmap_of(gone, "sid")
+    known = lean.where(listed).join(gone.withColumn("gone", F.lit(1)), "sid", "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
+    all_sets = lean.where(~listed).withColumn("gone", F.lit(0)).unionByName(known)
+    # one row for each prefix word: word, set, size, position and flag, sketch
+    prefix = all_sets.select("sid", "n", "parity", "gone", F.posexplode("prefix").alias("p", "w"))
+    packed = F.shiftleft(F.col("n").cast("bigint"), 24) + F.shiftleft(F.least("p", F.lit((1 << 23) - 1)).cast("bigint"), 1) + F.col("gone")
+    prefix = prefix.select("w", "sid", packed.alias("m"), "parity")
+    x = prefix.select("w", F.col("sid").alias("a"), F.col("m").alias("ma"), F.col("parity").alias("pa"))
+    y = prefix.select(F.col("w").alias("w2"), F.col("sid").alias("b"), F.col("m").alias("mb"), F.col("parity").alias("pb"))
+    at = lambda m: F.shiftright(m, 1).bitwiseAND(F.lit((1 << 23) - 1))
+    both_go = F.col("ma").bitwiseAND(F.col("mb")).bitwiseAND(F.lit(1)) == 1
+    cond = (x["w"] == y["w2"]) & (x["a"] < y["b"]) & ~both_go & may_match(F.shiftright("ma", 24), at(F.col("ma")), F.shiftright("mb", 24), at(F.col("mb")), F.col("pa"), F.col("pb"))
+    gone = gone.union(verified(x.join(y, cond).select("a", "b").distinct(), gone)).distinct()
     flags = sets.select("k1", "k2", "place", "sid").join(gone.withColumn("gone", F.lit(True)), "sid", "left")
     out = lines.select("k1", "k2", "rid", "pos").join(flags, ["k1", "k2"])
     out = out.where(F.col("gone") | (F.col("rid") != F.col("place.rid")) | (F.col("pos") != F.col("place.pos")))
