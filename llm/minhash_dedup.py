@@ -9,27 +9,33 @@ their probability Jaccard similarity; bands of registers give candidates,
 which are verified exactly on the texts.
 
 Equal word sequences are one class from the start. A bucket's texts are first
-compared with its least one (a star, not all pairs) and linked ones joined
-into classes; only texts of one bucket that are still in different classes
-are compared further, so no link between different texts is lost and no
-group of copies is expanded into pairs.
+compared with one of them (a star, not all pairs) and linked ones joined into
+classes; two more rounds do so with another leader, for buckets that still
+hold several classes. Only texts of one bucket that are in different classes
+even then are all compared, so no link between different texts is lost and no
+group of copies is expanded into pairs. Pairs are also held against parity
+sketches of their shingles before any text is read: two sketches differ in at
+most as many bits as the sets differ in shingles, so where all shingles occur
+once, too many bits prove a similarity below the threshold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import base, documents, pieces, written
+from .common import base, bitmap_of, documents, pieces, written
 from .components import components
 from .hashing import WordHashes, scramble, windows, words_of
 
 BANDS, ROWS = 20, 4
+LANES = 16  # longs of a parity sketch
 FIXED_SEED = np.uint64(0xA24BAED4963EE407)
 
 
@@ -63,6 +69,12 @@ def signature(keys: np.ndarray, weights: np.ndarray, m: int = BANDS * ROWS) -> n
     return (who >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def sketch(keys: np.ndarray) -> np.ndarray:
+    """For each of 64 x LANES hash values, the parity of the number of shingles that have it."""
+    odd = np.bincount((scramble(keys ^ FIXED_SEED) % np.uint64(64 * LANES)).astype(np.int64), minlength=64 * LANES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Probability Jaccard: over common d, the sum of 1 / sum over e of max(x_e / x_d, y_e / y_d)."""
     (ka, wa), (kb, wb) = a, b
@@ -92,14 +104,29 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in pieces(batches):
-            content, sigs = [], []
+            content, sigs, n, once, parity = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
                 content.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")) if words else None)
-                sigs.append(signature(*shingles(hashes.of(words), size), bands * rows) if words else None)
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(content, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], ["rid", "doc_id", "content", "sig"])
-
-    signed = written(docs.select("rid", "doc_id", "text").mapInArrow(sign, "rid long, doc_id long, content binary, sig array<int>").where("content is not null"))
+                keys, weights = shingles(hashes.of(words), size)
+                sigs.append(signature(keys, weights, bands * rows) if words else None)
+                n.append(len(keys))
+                once.append(bool((weights == 1).all()))
+                parity.append(sketch(keys) if words else None)
+            columns = [batch.column("rid"), batch.column("doc_id"), pa.array(content, pa.binary()), pa.array(sigs, pa.list_(pa.int32())), pa.array(n, pa.int32()), pa.array(once), pa.array(parity, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "content", "sig", "n", "once", "parity"])
+
+    signed = docs.select("rid", "doc_id", "text").mapInArrow(sign, "rid long, doc_id long, content binary, sig array<int>, n int, once boolean, parity array<bigint>")
+    signed = written(signed.where("content is not null"))
+
+    def sketches(p: str) -> DataFrame:
+        return signed.select(F.col("rid").alias(p), F.col("n").alias(f"n{p}"), F.col("once").alias(f"once{p}"), *(F.get("parity", F.lit(i)).alias(f"{p}{i}") for i in range(LANES)))
+
+    def plausible() -> Column:
+        """Of a pair (a, b) with both sketches: the similarity may reach the threshold."""
+        apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(LANES)))
+        most = (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+        return ~(F.col("oncea") & F.col("onceb")) | (apart <= most)
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("rid").alias("rid"))
     first = signed.groupBy("content").agg(F.min(place).alias("first"))
     member = written(signed.select("rid", "content").join(first, "content").select("rid", F.col("first.rid").alias("rep")))
@@ -120,21 +147,37 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     def links(pairs: DataFrame) -> DataFrame:
-        texts = docs.select("rid", "text")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid"))
+        texts = docs.select("rid", "text").where(bitmap_of(wanted, "rid"))
         with_b = pairs.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b")
         both = with_b.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a")
         return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
 
-    stars = written(links(banded.where("rid <> least").select(F.col("least").alias("a"), F.col("rid").alias("b")).distinct()))
-    label = components(stars)
-    labelled = banded.join(label.withColumnRenamed("node", "rid"), "rid", "left").select("h", "rid", "least", F.coalesce("label", "rid").alias("label"))
-    mixed = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
+    def star(pairs: DataFrame) -> DataFrame:
+        near = pairs.distinct().join(sketches("b"), "b").join(sketches("a"), "a").where(plausible())
+        return written(links(written(near.select("a", "b"))))
+
+    def labelled_by(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The bucket rows with their classes, and the buckets that hold several."""
+        label = components(edges)
+        rows_ = banded.join(label.withColumnRenamed("node", "rid"), "rid", "left").select("h", "rid", "least", F.coalesce("label", "rid").alias("label"))
+        return rows_, rows_.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
+
+    edges = star(banded.where("rid <> least").select(F.col("least").alias("a"), F.col("rid").alias("b")))
+    labelled, mixed = labelled_by(edges)
+    for again in range(2):
+        part = written(labelled.join(mixed, "h"))
+        lead = part.groupBy("h").agg(F.min(F.struct(F.xxhash64("rid", F.lit(again)).alias("x"), "rid", "label")).alias("lead"))
+        pairs = part.join(lead, "h").where("label <> lead.label").select(F.least("rid", "lead.rid").alias("a"), F.greatest("rid", "lead.rid").alias("b"))
+        edges = written(edges.union(star(pairs)))
+        labelled, mixed = labelled_by(edges)
     rest = written(labelled.join(mixed, "h"))
-    x = rest.select("h", F.col("rid").alias("a"), F.col("label").alias("la"), "least")
-    y = rest.select("h", F.col("rid").alias("b"), F.col("label").alias("lb"))
-    # the star pairs are known; others across classes of a bucket are compared
-    more = x.join(y, "h").where("la < lb and a <> least and b <> least").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = stars.union(written(links(more)))
+    x = rest.select("h", F.col("rid").alias("a"), F.col("label").alias("la"), "least").join(sketches("a"), "a")
+    y = rest.select(F.col("h").alias("h2"), F.col("rid").alias("b"), F.col("label").alias("lb")).join(sketches("b"), "b")
+    # the first stars' pairs are known; others across classes of a bucket are compared
+    other = (x["h"] == y["h2"]) & (F.col("la") < F.col("lb")) & (F.col("a") != F.col("least")) & (F.col("b") != F.col("least")) & plausible()
+    more = x.join(y, other).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = edges.union(written(links(written(more))))
     label = components(edges)
     rep_class = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rid", F.coalesce("label", "rep").alias("c"))
     rows_ = docs.join(rep_class, "rid", "left").withColumn("c", F.coalesce("c", "rid"))
