@@ -47,23 +47,33 @@ def terms(text: str) -> list[str]:
 
 
 class Scorer:
-    """Best template of a unit. Words in no template weigh as much as the rarest word that is in one."""
+    """Best template of a unit. Words in no template weigh as much as the rarest word that is in one.
 
-    def __init__(self, df: dict[str, int], n_docs: int, templates: dict[str, list[str]]) -> None:
+    A cosine is at most the norm of the template's weights on the shared words.
+    Each template's commonest words are left out of ``cues`` as long as their
+    weights' norm stays below ``least``: a unit without cues cannot reach it.
+    """
+
+    def __init__(self, df: dict[str, int], n_docs: int, templates: dict[str, list[str]], least: float = 0.6) -> None:
         vocabulary = {t for texts in templates.values() for x in texts for t in terms(x)}
         self.idf = {t: math.log((n_docs + 1) / (df.get(t, 0) + 1)) + 1 for t in vocabulary}
         self.other = max(self.idf.values(), default=1.0)
         self.postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         self.names: list[str] = []
+        self.cues: set[str] = set()
         for name, texts in templates.items():
             for x in texts:
                 tf = Counter(terms(x))
                 norm = math.sqrt(sum((c * self.idf[t]) ** 2 for t, c in tf.items()))
-                for t, c in tf.items():
-                    self.postings[t].append((len(self.names), c * self.idf[t] / norm))
+                spare = least * least - 1e-9
+                for t, c in sorted(tf.items(), key=lambda x: (self.idf[x[0]], x[0])):
+                    w = c * self.idf[t] / norm
+                    self.postings[t].append((len(self.names), w))
+                    if w * w < spare:
+                        spare -= w * w
+                    else:
+                        self.cues.add(t)
                 self.names.append(name)
-        # a unit without any of these shares too little with every template
-        self.cues = {t for t, w in self.idf.items() if len(t) > 2 and w > 0.5 * self.other}
 
     def best(self, unit: list[str]) -> tuple[float, str]:
         tf = Counter(unit)
@@ -87,7 +97,6 @@ def own_licences(files: DataFrame, templates: dict[str, list[str]] | None = None
     """rid, licence (null: none), score and is_file of each row of ``files`` (rid, text)."""
     templates = templates or TEMPLATES
     vocabulary = sorted({t for texts in templates.values() for x in texts for t in terms(x)})
-    cue_words = re.compile("|".join(sorted({re.escape(t) for t in vocabulary if len(t) > 2})))
     texts = files.select("rid", "text")
 
     def document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,14 +108,14 @@ def own_licences(files: DataFrame, templates: dict[str, list[str]] | None = None
         yield pa.RecordBatch.from_pydict({"term": ["", *df], "n": [n, *df.values()]}, pa.schema([("term", pa.string()), ("n", pa.int64())]))
 
     counts = {r[0]: r[1] for r in texts.mapInArrow(document_frequency, "term string, n long").groupBy("term").agg(F.sum("n")).collect()}  # the templates' words
-    scorer = Scorer(counts, counts.get("", 0), templates)
+    scorer = Scorer(counts, counts.get("", 0), templates, least)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             rows = []
             for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 best, inside, low = (0.0, None), 0, text.lower()
-                if cue_words.search(low):
+                if not scorer.cues.isdisjoint(TERM.findall(low)):
                     for unit in _units(low):
                         t = terms(unit)
                         if scorer.cues.isdisjoint(t):

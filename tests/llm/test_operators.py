@@ -328,3 +328,31 @@ def test_licenses(spark, docs, empty):
     with_path = lambda d: base(d, "source").withColumn("path", F.col("source"))
     assert license_scan.scan(with_path(docs)).count() == docs.count()
     assert license_scan.scan(with_path(empty)).count() == 0
+
+
+def test_licenses_of_common_words(spark):
+    """A notice that a third of a large table holds is found in each of them."""
+    notice = "Released under the MIT License."
+    text = F.when(F.col("id") % 3 == 0, F.lit(f"a b\n{notice}")).otherwise(F.concat(F.lit("of its own "), F.col("id").cast("string")))
+    files = spark.range(30_000).select(F.col("id").alias("rid"), text.alias("text"))
+    got = license_scan.own_licences(files).groupBy("licence").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low")).collect()
+    assert {r.licence: (r.n, r.low) for r in got} == {"MIT": (10_000, 1.0), None: (20_000, 0.0)}
+
+
+def test_licence_cues_lose_nothing():
+    """Units without a cue stay below the bound, whatever the counts."""
+    import random
+
+    rng = random.Random(6)
+    vocabulary = sorted({t for texts in license_scan.TEMPLATES.values() for x in texts for t in license_scan.terms(x)})
+    skipped = 0
+    for n in (1000, 1_000_000):
+        for _ in range(20):
+            scorer = license_scan.Scorer({t: rng.choice((0, 1, n // 100, n // 3, n)) for t in vocabulary}, n, license_scan.TEMPLATES, 0.6)
+            for _ in range(200):
+                base_ = license_scan.terms(rng.choice(rng.choice(list(license_scan.TEMPLATES.values()))))
+                unit = [t for t in base_ if rng.random() < 0.7]
+                if scorer.cues.isdisjoint(unit):
+                    skipped += 1
+                    assert not unit or scorer.best(unit)[0] < 0.6
+    assert skipped
