@@ -12,7 +12,9 @@ position, has that similarity, whether or not that one stays.
 Equal sets are one set from the start. Sets that share their least or greatest
 word hash are first compared with the earliest one of them, which settles most
 of a family of near copies without expanding it into pairs; a pair is then
-skipped only if both its sets are known to go, so no match is lost.
+skipped only if both its sets are known to go, so no match is lost. A set so
+small that one word more or less breaks the threshold matches equal sets only
+and takes part in no join.
 """
 
 from __future__ import annotations
@@ -51,8 +53,9 @@ def rarity(docs: DataFrame) -> list[int]:
 def decisions(docs: DataFrame, threshold: float = 0.8, least: int = 3) -> DataFrame:
     """rid and ``removed`` (positions of lines to remove) of the rows of ``docs`` that lose any.
 
-    Lines of fewer than ``least`` distinct words are left alone. ``docs``
-    comes from :func:`llm.common.base`.
+    Lines of fewer than ``least`` distinct words are left alone; the query and
+    the pipeline take all lines that have a word. ``docs`` comes from
+    :func:`llm.common.base`.
     """
     docs = docs.select("rid", "doc_id", "text")
     rare = fixed_array(rarity(docs), "int")
@@ -60,12 +63,13 @@ def decisions(docs: DataFrame, threshold: float = 0.8, least: int = 3) -> DataFr
     hashes = F.array_distinct(F.transform(words_in(F.col("line")), lambda w: F.xxhash64(w)))
     rank = lambda h: F.shiftleft(F.get(rare, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("bigint"), 44) + h.bitwiseAND(F.lit(low))
     n = F.size("ids")
-    take = n - F.ceil(n * threshold - 1e-9).cast("int") + 1
+    joins = n >= (n + 1) * threshold - 1e-9
+    take = F.when(joins, n - F.ceil(n * threshold - 1e-9).cast("int") + 1).otherwise(0)
     parity = F.expr("aggregate(ids, 0L, (a, h) -> a ^ shiftleft(1L, cast(h & 63 as int)))")
     lines = _lines(docs).select("rid", "doc_id", "pos", hashes.alias("ids")).where(F.size("ids") >= least)
     lines = lines.select("rid", "doc_id", "pos", n.alias("n"), F.sort_array(F.transform("ids", rank)).alias("r"), parity.alias("parity"), take.alias("take"), F.array_min("ids").alias("lo"), F.array_max("ids").alias("hi"))
     low32 = lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")
-    lines = lines.select("rid", "doc_id", "pos", "n", "parity", F.xxhash64("r").alias("k1"), F.hash("r").alias("k2"), F.transform(F.slice("r", F.lit(1), F.col("take")), low32).alias("prefix"), low32(F.col("lo")).alias("lo"), low32(F.col("hi")).alias("hi"))
+    lines = lines.select("rid", "doc_id", "pos", "n", "parity", F.xxhash64("r", "lo", "hi").alias("k1"), F.hash("r", "lo", "hi").alias("k2"), F.transform(F.slice("r", F.lit(1), F.col("take")), low32).alias("prefix"), low32(F.col("lo")).alias("lo"), low32(F.col("hi")).alias("hi"))
     lines = written(lines)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "pos")
     sets = lines.groupBy("k1", "k2").agg(F.min(F.struct(place.alias("place"), "n", "parity", "prefix", "lo", "hi")).alias("f"))
@@ -95,14 +99,14 @@ def decisions(docs: DataFrame, threshold: float = 0.8, least: int = 3) -> DataFr
         return written(same.select(F.col("later").alias("sid")).distinct())
 
     # families: each set with the earliest one of those that share an extreme hash
-    ends = sets.select("sid", "place", "n", "parity", F.posexplode(F.array("lo", "hi")).alias("which", "h"))
+    ends = sets.where(F.size("prefix") > 0).select("sid", "place", "n", "parity", F.posexplode(F.array("lo", "hi")).alias("which", "h"))
     lead = ends.groupBy("which", "h").agg(F.min(F.struct("place", "sid", "n", "parity")).alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1")
     near = ends.select("which", "h", "sid", "n", "parity").join(lead, ["which", "h"])
     zero = F.lit(0)
     near = near.where((F.col("sid") != F.col("lead.sid")) & may_match(F.col("n"), zero, F.col("lead.n"), zero, F.col("parity"), F.col("lead.parity")))
     gone = verified(near.select(F.col("lead.sid").alias("a"), F.col("sid").alias("b")).distinct())
     # the bitmap says for most sets that they are not among those; only the others are looked up
-    lean = sets.select("sid", "n", "parity", "prefix")
+    lean = sets.where(F.size("prefix") > 0).select("sid", "n", "parity", "prefix")
     listed = bitmap_of(gone, "sid")
     known = lean.where(listed).join(gone.withColumn("gone", F.lit(1)), "sid", "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
     all_sets = lean.where(~listed).withColumn("gone", F.lit(0)).unionByName(known)
@@ -139,6 +143,6 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lines, lines removed, and the removed lines' positions; texts are not moved for that."""
     docs = base(documents(spark, sf_dir))
     counts = docs.select("rid", "doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
-    out = counts.join(decisions(docs), "rid", "left")
+    out = counts.join(decisions(docs, least=1), "rid", "left")
     n = F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long")
     return out.select("doc_id", "n_lines", n.alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))

@@ -47,3 +47,33 @@ def test_stages_take_odd_tables(spark, docs, empty):
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES if n.startswith("op")])
 def test_queries_cover_the_table(spark, name):
     assert queries.QUERIES[name](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+
+
+def test_short_lines_go_too(spark, docs, tmp_path):
+    """The query and the stage remove later copies of lines of one or two words as well, and of long ones that repeat few words."""
+    rows = [(1, "Les.\nand more of it\nbuy now buy now buy now"), (2, "Les.\n\nnow buy now\nLes Les\nyes no"), (3, "no yes\nLes"), (4, "Les."), (5, None)]
+    odd = docs.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id < 0").unionByName(spark.createDataFrame(rows, "doc_id long, text string"), allowMissingColumns=True)
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.removed for r in queries.QUERIES["op6_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: "", 2: "0,2", 3: "0,1", 4: "0", 5: ""}
+    kept = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), "").collect()}
+    assert kept == {1: rows[0][1], 2: "\nLes Les\nyes no", 5: ""}
+
+
+def test_line_dedup_query_by_brute_force(spark, docs, texts, tmp_path):
+    """All lines with a word, against every earlier one; equal ids in no particular order are left out."""
+    import re
+
+    few = {i: t for i, t in texts if i is not None and i != 140}
+    docs.where("doc_id <> 140").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, want = [], {}
+    for i in sorted(few):
+        gone = []
+        for k, line in enumerate((few[i] or "").split("\n")):
+            s = frozenset(re.findall(r"[^ \t-\r]+", line))
+            if s and any(len(s & x) >= 0.8 * len(s | x) - 1e-9 for x in seen):
+                gone.append(k)
+            if s:
+                seen.append(s)
+        want[i] = ",".join(map(str, gone))
+    assert {r.doc_id: r.removed for r in queries.QUERIES["op6_line_dedup"](spark, str(tmp_path)).collect()} == want
