@@ -4,7 +4,9 @@ A text's lines, and the sentences of longer lines, are units. A unit's words,
 weighted by inverse document frequency over all documents, are compared with
 each template's by cosine, over shared words only. The best unit of a
 text gives its licence if it is near enough; a text that is mostly such units
-is a licence file. A text without a licence of its own inherits that of the
+is a licence file. So is a text that as a whole is near enough to a whole
+licence (with logarithmic term counts, as function words would outweigh the
+others in long texts), whose licence it then has. A text without a licence of its own inherits that of the
 nearest ancestor directory that holds a licence file, found by joining its
 directory's ancestors to the directories' licences.
 """
@@ -15,6 +17,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from importlib.resources import files as resources
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,9 +42,16 @@ TEMPLATES = {
 }
 TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 SENTENCE = re.compile(r"(?<=[.;:!?])[ \t]+")
+WHOLE = 0.85  # cosine to a whole licence; other versions and relatives of a licence stay below where they are apart
 LONG = 40  # terms; longer lines are cut into sentences too
 
 
+def whole_licences() -> dict[str, str]:
+    """The texts in the folder ``licences``, by SPDX name; read on the driver."""
+    found = (x for x in (resources(__package__) / "licences").iterdir() if x.name.endswith(".txt"))
+    return {x.name.removesuffix(".txt"): x.read_text("utf-8") for x in found}
+
+
 def terms(text: str) -> list[str]:
     return TERM.findall(text.lower())
 
@@ -54,7 +64,8 @@ class Scorer:
     weights' norm stays below ``least``: a unit without cues cannot reach it.
     """
 
-    def __init__(self, df: dict[str, int], n_docs: int, templates: dict[str, list[str]], least: float = 0.6) -> None:
+    def __init__(self, df: dict[str, int], n_docs: int, templates: dict[str, list[str]], least: float = 0.6, whole: bool = False) -> None:
+        self.whole = whole
         vocabulary = {t for texts in templates.values() for x in texts for t in terms(x)}
         self.idf = {t: math.log((n_docs + 1) / (df.get(t, 0) + 1)) + 1 for t in vocabulary}
         self.other = max(self.idf.values(), default=1.0)
@@ -63,7 +74,7 @@ class Scorer:
         self.cues: set[str] = set()
         for name, texts in templates.items():
             for x in texts:
-                tf = Counter(terms(x))
+                tf = self.counted(terms(x))
                 norm = math.sqrt(sum((c * self.idf[t]) ** 2 for t, c in tf.items()))
                 spare = least * least - 1e-9
                 for t, c in sorted(tf.items(), key=lambda x: (self.idf[x[0]], x[0])):
@@ -75,8 +86,12 @@ class Scorer:
                         self.cues.add(t)
                 self.names.append(name)
 
-    def best(self, unit: list[str]) -> tuple[float, str]:
+    def counted(self, unit: list[str]) -> dict[str, float]:
         tf = Counter(unit)
+        return {t: 1 + math.log(c) for t, c in tf.items()} if self.whole else tf
+
+    def best(self, unit: list[str]) -> tuple[float, str]:
+        tf = self.counted(unit)
         norm = math.sqrt(sum((c * self.idf.get(t, self.other)) ** 2 for t, c in tf.items()))
         dot: dict[int, float] = defaultdict(float)
         for t, c in tf.items():
@@ -93,10 +108,11 @@ def _units(text: str) -> Iterator[str]:
             yield from SENTENCE.split(line)
 
 
-def own_licences(files: DataFrame, templates: dict[str, list[str]] | None = None, least: float = 0.6) -> DataFrame:
+def own_licences(files: DataFrame, templates: dict[str, list[str]] | None = None, least: float = 0.6, wholes: dict[str, str] | None = None) -> DataFrame:
     """rid, licence (null: none), score and is_file of each row of ``files`` (rid, text)."""
     templates = templates or TEMPLATES
-    vocabulary = sorted({t for texts in templates.values() for x in texts for t in terms(x)})
+    full = {name: [x] for name, x in sorted((whole_licences() if wholes is None else wholes).items())}
+    vocabulary = sorted({t for some in (templates, full) for texts in some.values() for x in texts for t in terms(x)})
     texts = files.select("rid", "text")
 
     def document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,13 +125,15 @@ def own_licences(files: DataFrame, templates: dict[str, list[str]] | None = None
 
     counts = {r[0]: r[1] for r in texts.mapInArrow(document_frequency, "term string, n long").groupBy("term").agg(F.sum("n")).collect()}  # the templates' words
     scorer = Scorer(counts, counts.get("", 0), templates, least)
+    whole_scorer = Scorer(counts, counts.get("", 0), full, WHOLE, whole=True)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             rows = []
             for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 best, inside, low = (0.0, None), 0, text.lower()
-                if not scorer.cues.isdisjoint(TERM.findall(low)):
+                found = TERM.findall(low)
+                if not scorer.cues.isdisjoint(found):
                     for unit in _units(low):
                         t = terms(unit)
                         if scorer.cues.isdisjoint(t):
@@ -125,7 +143,12 @@ def own_licences(files: DataFrame, templates: dict[str, list[str]] | None = None
                             inside += len(t)
                             best = max(best, (score, name))
                 licence = best[1] if best[0] >= least else None
-                rows.append((rid, licence, round(best[0], 6), licence is not None and 2 * inside >= len(terms(low))))
+                is_file = licence is not None and 2 * inside >= len(found)
+                if not whole_scorer.cues.isdisjoint(found):
+                    of_whole = whole_scorer.best(found)
+                    if of_whole[0] >= WHOLE:
+                        best, licence, is_file = of_whole, of_whole[1], True
+                rows.append((rid, licence, round(best[0], 6), is_file))
             types = (pa.int64(), pa.string(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["rid", "licence", "score", "is_file"])
 

@@ -356,3 +356,21 @@ def test_licence_cues_lose_nothing():
                     skipped += 1
                     assert not unit or scorer.best(unit)[0] < 0.6
     assert skipped
+
+
+def test_whole_licences_are_inherited(spark):
+    """A complete licence text is a licence file, however its lines are cut, and its directory passes it on."""
+    plain = "some words of code and nothing else to see in this file"
+    rows = []
+    for k, (name, text) in enumerate(sorted(license_scan.whole_licences().items())):
+        at = ("Copyright (c) 2021 Some Body. All rights reserved.\n\n" + text, " ".join(text.split()), text)[k % 3]
+        rows += [(3 * k, f"{name}/LICENSE", at), (3 * k + 1, f"{name}/src/a.py", plain), (3 * k + 2, f"half-{name}/LICENSE", text[: len(text) // 3] + f"\n{plain}" * 300)]
+    got = {r.rid: (r.licence, r.origin, r.from_dir) for r in license_scan.scan(spark.createDataFrame(rows, "rid long, path string, text string")).collect()}
+    names = {p.split("/")[0] for _, p, _ in rows if not p.startswith("half-")}
+    assert names == {"MIT", "Apache-2.0", "GPL-3.0", "BSD-3-Clause", "CC-BY-NC-4.0"}
+    for rid, path, _ in rows:
+        name, last = path.split("/")[0], path.split("/")[-1]
+        if name.startswith("half-"):
+            assert got[rid][1] != "file"
+        else:
+            assert got[rid] == ((name, "file", None) if last == "LICENSE" else (name, "inherited", name))
