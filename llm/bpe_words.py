@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import base, documents, pieces
+from .common import base, documents, fix_split, pieces
 
 BLOCK = 24 << 20  # bytes of text in a block of documents
 BATCH = 1 << 15
@@ -188,6 +188,7 @@ def encode(docs: DataFrame, path: str, text_out: bool = True) -> DataFrame:
                 last = new[-1], own[-1]
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("i"), pa.array(own, pa.binary()).take(found.indices)], ["block", "i", "ids"])
 
+    fix_split(spark)  # both scans must cut the same blocks
     used = docs.select("rid", "doc_id", "text")
     listed_words = used.mapInArrow(words, "block long, i int, word string")
     dealt = listed_words.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word").sortWithinPartitions("word")

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,15 +24,51 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+ROW_BITS = 32  # of a row id: the row's number in its file; a file's hash has the others
+
+
+def _file_rows(docs: DataFrame) -> Column | None:
+    """A row id from file and row number, None unless ``docs`` is rows of Parquet files, each at most once."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    if node.nodeName() != "LogicalRelation" or "HadoopFsRelation" not in node.relation().getClass().getName():
+        return None
+    listed = list(node.relation().location().inputFiles())
+    path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    try:
+        files = docs.select(path.alias("path"), row.alias("row")).select("path")
+    except AnalysisException:  # another format
+        return None
+    if len(set(listed)) < len(listed):
+        return None
+    if len(listed) <= 1:
+        return row
+    hashed = lambda path, seed: F.pmod(F.xxhash64(path, F.lit(seed)), F.lit(1 << (63 - ROW_BITS)))
+    counts = files.distinct().agg(F.count(F.lit(1)), *(F.size(F.collect_set(hashed(F.col("path"), k))) for k in range(8))).first()  # a row a file
+    seed = next((k for k in range(8) if counts[k + 1] == counts[0]), None)
+    return None if seed is None else F.shiftleft(hashed(path, seed), ROW_BITS) + row
+
+
 def base(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and the named columns, with a row id ``rid``.
 
-    The id follows partition and position, so it is the same in each scan of
-    one plan; ``docs`` must therefore be a table or a checkpoint, as all
-    inputs here are. Rows with equal or null doc_id stay apart by it.
+    The id is the same in each scan, in whatever job and however the scan is
+    split: it follows file and row. A table without those is written with its
+    ids first. Rows with equal or null doc_id stay apart by it.
     """
     kept = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
-    return docs.select(*kept, *more, F.monotonically_increasing_id().alias("rid"))
+    rid = _file_rows(docs)
+    if rid is None:
+        return written(docs.select(*kept, *more, F.monotonically_increasing_id().alias("rid")))
+    return docs.select(*kept, *more, rid.alias("rid"))
+
+
+def fix_split(spark: SparkSession) -> None:
+    """From now on the split of files into tasks does not follow the number of cores that are registered when a scan is planned."""
+    key = "spark.sql.files.minPartitionNum"
+    if not spark.conf.get(key, None):
+        spark.conf.set(key, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism)
 
 
 def shared_folder(spark: SparkSession) -> str:

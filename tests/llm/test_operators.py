@@ -374,3 +374,41 @@ def test_whole_licences_are_inherited(spark):
             assert got[rid][1] != "file"
         else:
             assert got[rid] == ((name, "file", None) if last == "LICENSE" else (name, "inherited", name))
+
+
+def test_row_ids_do_not_depend_on_the_split(spark, docs, tmp_path):
+    """The same ids when tasks are cut otherwise between two scans."""
+    docs.select("doc_id", "text").coalesce(1).write.parquet(str(tmp_path / "one"))
+    docs.where("doc_id < 0").write.orc(str(tmp_path / "orc"))
+    tables = [docs, spark.read.parquet(str(tmp_path / "one")), docs.union(docs), docs.where("doc_id > 100").withColumn("n", F.lit(1)), docs.withColumn("x", F.explode(F.array(F.lit(1), F.lit(2)))), spark.range(50).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text")), spark.read.orc(str(tmp_path / "orc"))]
+    frames = [base(t) for t in tables]
+    seen = lambda: [sorted(((r.rid, r.doc_id, r.text) for r in f.collect()), key=str) for f in frames]
+    before, keys = seen(), ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "20000")
+        again = [base(t) for t in tables[:2]]
+        assert seen() == before and [sorted(((r.rid, r.doc_id, r.text) for r in f.collect()), key=str) for f in again] == before[:2]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    for t, rows in zip(tables, before, strict=False):
+        assert len({r[0] for r in rows}) == len(rows) == t.count()
+
+
+def test_blocks_do_not_depend_on_the_cores(spark, docs):
+    """After encode is planned, scans are cut alike whatever the number of cores that the cluster has by then."""
+    keys = ("spark.sql.files.minPartitionNum", "spark.sql.leafNodeDefaultParallelism")
+    for k in keys:
+        spark.conf.unset(k)
+    bpe_words.encode(base(docs), public_tokenizers.path("word_bpe_49k.json"))
+    cut = []
+    try:
+        for n in (1, 64):
+            spark.conf.set(keys[1], n)
+            cut.append(sorted(map(tuple, base(docs).select("rid", F.spark_partition_id()).collect())))
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+    assert cut[0] == cut[1]
