@@ -82,12 +82,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: lineage is cut, lost executors lose nothing."""
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
+    """df as a table in the shared folder: lineage is cut, lost executors lose nothing. The write's shuffle files go when it ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/t{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables that :func:`written` made; nothing that is still to be computed may read them. Other DataFrames are left alone."""
+    for df in tables:
+        path = vars(df).pop("written_at", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], most: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -117,9 +137,9 @@ def fixed_array(values: list[int], kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
-def bitmap_of(df: DataFrame, column: str) -> Column:
-    """A test for a long column: false only for values that ``column`` lacks. The bitmap has a fixed size, whatever the number of rows."""
-    h = F.pmod(F.xxhash64(column), F.lit(FILTER_WORDS * 64))
+def bitmap_of(df: DataFrame, *columns: str) -> Column:
+    """A test for columns of these names: false only for values that df lacks. The bitmap has a fixed size, whatever the number of rows."""
+    h = F.pmod(F.xxhash64(*columns), F.lit(FILTER_WORDS * 64))
     bits = df.select(h.alias("h")).groupBy(F.shiftright("h", 6).cast("int").alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("v"))
     out = [0] * FILTER_WORDS
     for i, v in bits.collect():  # FILTER_WORDS rows at most

@@ -24,33 +24,59 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import base, bitmap_of, documents, fixed_array, written
+from .common import base, bitmap_of, documents, fixed_array, free, written
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
+LANES = 2  # longs of a parity sketch
+MOST_N, MOST_P = (1 << 20) - 1, (1 << 11) - 1
+
+
+def spaced(text: Column) -> Column:
+    """The text with blanks for its other white space but line ends: splitting at one plain character is far cheaper than at a pattern."""
+    odd = reduce(lambda a, b: a | b, (text.contains(c) for c in "\t\x0b\x0c\r"))
+    return F.when(odd, F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
 
 
 def words_in(line: Column) -> Column:
-    """A line's words. Splitting at one plain character is far cheaper than at a pattern, so other white space is made blanks first."""
-    odd = reduce(lambda a, b: a | b, (line.contains(c) for c in "\t\n\x0b\x0c\r"))
-    plain = F.when(odd, F.translate(line, "\t\n\x0b\x0c\r", "     ")).otherwise(line)
-    return F.array_remove(F.split(plain, " "), "")
+    """A spaced line's words."""
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("rid", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """Lines with a word."""
+    return docs.select("rid", "doc_id", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("pos", "line")).where(F.trim("line") != "")
 
 
 def rarity(docs: DataFrame) -> list[int]:
-    """For each hash bucket a number that grows with its words' count (a scaled logarithm, below 2**19)."""
-    words = docs.select(F.explode(words_in(F.col("text"))).alias("w"))
+    """For each hash bucket a number that grows with its words' count: a scaled logarithm, below 128, so that a table of bytes will do."""
+    words = docs.select(F.explode(F.split(spaced(F.col("text")), "\n")).alias("line")).select(F.explode(F.split("line", " ")).alias("w")).where("w <> ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     out = [0] * BUCKETS
-    for b, r in counts.select("b", (F.log2(F.col("n") + 1) * 20).cast("int")).collect():  # BUCKETS rows at most
-        out[b] = min(r, (1 << 19) - 1)
+    for b, r in counts.select("b", (F.log2(F.col("n") + 1) * 3).cast("int")).collect():  # BUCKETS rows at most
+        out[b] = min(r, 127)
     return out
 
 
-def decisions(docs: DataFrame, threshold: float = 0.8, least: int = 3) -> DataFrame:
+def line_sets(docs: DataFrame, threshold: float) -> DataFrame:
+    """A row a line that has a word: its set's identity (k1, k2), size, least and greatest word hash, sketch and prefix words, rarest first.
+
+    The prefix is empty where a set of another size or with another word cannot be similar enough.
+    """
+    rare = fixed_array(rarity(docs), "tinyint")
+    low = (1 << 44) - 1
+    n = F.size("ids")
+    take = F.when(n >= (n + 1) * threshold - 1e-9, n - F.ceil(n * threshold - 1e-9).cast("int") + 1).otherwise(0)
+    # no element is null, which Spark has to know to sort and compare plain longs
+    rank = lambda h: F.coalesce(F.shiftleft(F.get(rare, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("bigint"), 44) + h.bitwiseAND(F.lit(low)), F.lit(0).cast("bigint"))
+    low32 = lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")
+    lane = lambda i: F.expr(f"aggregate(ids, 0L, (a, h) -> if((shiftright(h, 32) & {LANES - 1}) = {i}, a ^ shiftleft(1L, cast(h & 63 as int)), a))")
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    rows = _lines(docs).select("rid", "doc_id", "pos", hashes.alias("ids"))
+    rows = rows.select("rid", "doc_id", "pos", n.alias("n"), F.sort_array(F.transform("ids", rank)).alias("r"), *(lane(i).alias(f"p{i}") for i in range(LANES)), take.alias("take"), F.array_min("ids").alias("lo"), F.array_max("ids").alias("hi"))
+    return rows.select("rid", "doc_id", "pos", "n", *(f"p{i}" for i in range(LANES)), F.xxhash64("r", "lo", "hi").alias("k1"), F.hash("r", "lo", "hi").alias("k2"), F.transform(F.slice("r", F.lit(1), F.col("take")), low32).alias("prefix"), low32(F.col("lo")).alias("lo"), low32(F.col("hi")).alias("hi"))
+
+
+def decisions(docs: DataFrame, threshold: float = 0.8, least: int = 1) -> DataFrame:
     """rid and ``removed`` (positions of lines to remove) of the rows of ``docs`` that lose any.
 
     Lines of fewer than ``least`` distinct words are left alone; the query and
@@ -58,80 +84,97 @@ def decisions(docs: DataFrame, threshold: float = 0.8, least: int = 3) -> DataFr
     :func:`llm.common.base`.
     """
     docs = docs.select("rid", "doc_id", "text")
-    rare = fixed_array(rarity(docs), "int")
-    low = (1 << 44) - 1
-    hashes = F.array_distinct(F.transform(words_in(F.col("line")), lambda w: F.xxhash64(w)))
-    rank = lambda h: F.shiftleft(F.get(rare, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("bigint"), 44) + h.bitwiseAND(F.lit(low))
-    n = F.size("ids")
-    joins = n >= (n + 1) * threshold - 1e-9
-    take = F.when(joins, n - F.ceil(n * threshold - 1e-9).cast("int") + 1).otherwise(0)
-    parity = F.expr("aggregate(ids, 0L, (a, h) -> a ^ shiftleft(1L, cast(h & 63 as int)))")
-    lines = _lines(docs).select("rid", "doc_id", "pos", hashes.alias("ids")).where(F.size("ids") >= least)
-    lines = lines.select("rid", "doc_id", "pos", n.alias("n"), F.sort_array(F.transform("ids", rank)).alias("r"), parity.alias("parity"), take.alias("take"), F.array_min("ids").alias("lo"), F.array_max("ids").alias("hi"))
-    low32 = lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")
-    lines = lines.select("rid", "doc_id", "pos", "n", "parity", F.xxhash64("r", "lo", "hi").alias("k1"), F.hash("r", "lo", "hi").alias("k2"), F.transform(F.slice("r", F.lit(1), F.col("take")), low32).alias("prefix"), low32(F.col("lo")).alias("lo"), low32(F.col("hi")).alias("hi"))
-    lines = written(lines)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "pos")
-    sets = lines.groupBy("k1", "k2").agg(F.min(F.struct(place.alias("place"), "n", "parity", "prefix", "lo", "hi")).alias("f"))
-    sets = written(sets.select("k1", "k2", F.monotonically_increasing_id().alias("sid"), "f.*"))
-
-    def may_match(n1: Column, p1, n2: Column, p2, par1: Column, par2: Column) -> Column:
+    stored = written(line_sets(docs, threshold))
+    lines = stored.where(F.col("n") >= least)
+    lanes = [f"p{i}" for i in range(LANES)]
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "pos").alias("place")
+    # lines whose set may occur again; all others are sets already
+    again = lines.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    shared = bitmap_of(again, "k1", "k2")
+    rest = (place, "n", *lanes, "prefix", "lo", "hi")
+    first = written(lines.where(shared).groupBy("k1", "k2").agg(F.min(F.struct(*rest)).alias("f")).select("k1", "k2", "f.*"))
+    sets = lines.where(~shared).select("k1", "k2", *rest).unionByName(first)
+
+    def may_match(n1: Column, p1: Column, n2: Column, p2: Column, par1: list[Column], par2: list[Column]) -> Column:
         """Length and positional filters, and the sketches' distance; p: positions of a common word, the first one of both sets."""
         need = F.ceil((n1 + n2) * (threshold / (1 + threshold)) - 1e-9)
-        return (F.least(n1, n2) >= F.greatest(n1, n2) * threshold - 1e-9) & (F.least(n1 - p1, n2 - p2) >= need) & (F.bit_count(par1.bitwiseXOR(par2)) <= n1 + n2 - 2 * need)
-
-    def verified(pairs: DataFrame, settled: DataFrame | None = None) -> DataFrame:
-        """sids of the sets that an earlier set of the pairs (a, b) matches; pairs whose later set is settled are left out."""
-        at = sets.select("sid", "place")
-        ends = pairs.join(at.withColumnRenamed("sid", "a").withColumnRenamed("place", "pa"), "a").join(at.withColumnRenamed("sid", "b").withColumnRenamed("place", "pb"), "b")
-        ends = ends.select("pa", "pb", F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("later"))
-        if settled is not None:
-            ends = ends.join(settled.select(F.col("sid").alias("later")), "later", "left_anti")
+        apart = reduce(lambda a, b: a + b, (F.bit_count(a.bitwiseXOR(b)) for a, b in zip(par1, par2, strict=True)))
+        return (F.least(n1, n2) >= F.greatest(n1, n2) * threshold - 1e-9) & (F.least(n1 - p1, n2 - p2) >= need) & (apart <= n1 + n2 - 2 * need)
+
+    def verified(ends: DataFrame) -> DataFrame:
+        """Identities of the later sets of the pairs that match: ends has them and the places pa and pb of both sets' first lines."""
         ends = written(ends)
         wanted = ends.select(F.explode(F.array("pa", "pb")).alias("x")).select("x.rid", "x.pos").distinct()
-        few = docs.where(bitmap_of(wanted, "rid"))
-        tokens = _lines(few).join(wanted, ["rid", "pos"]).select("rid", "pos", F.array_distinct(words_in(F.col("line"))).alias("t"))
+        few = _lines(docs.where(bitmap_of(wanted, "rid"))).where(bitmap_of(wanted, "rid", "pos"))
+        tokens = few.join(wanted, ["rid", "pos"]).select("rid", "pos", F.array_distinct(words_in(F.col("line"))).alias("t"))
         a = tokens.select(F.col("rid").alias("ra"), F.col("pos").alias("qa"), F.col("t").alias("ta"))
         b = tokens.select(F.col("rid").alias("rb"), F.col("pos").alias("qb"), F.col("t").alias("tb"))
         both = ends.join(a, (F.col("pa.rid") == F.col("ra")) & (F.col("pa.pos") == F.col("qa"))).join(b, (F.col("pb.rid") == F.col("rb")) & (F.col("pb.pos") == F.col("qb")))
         common = F.size(F.array_intersect("ta", "tb"))
-        same = both.where(common >= (F.size("ta") + F.size("tb") - common) * threshold - 1e-9)
-        return written(same.select(F.col("later").alias("sid")).distinct())
-
-    # families: each set with the earliest one of those that share an extreme hash
-    ends = sets.where(F.size("prefix") > 0).select("sid", "place", "n", "parity", F.posexplode(F.array("lo", "hi")).alias("which", "h"))
-    lead = ends.groupBy("which", "h").agg(F.min(F.struct("place", "sid", "n", "parity")).alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    near = ends.select("which", "h", "sid", "n", "parity").join(lead, ["which", "h"])
+        out = written(both.where(common >= (F.size("ta") + F.size("tb") - common) * threshold - 1e-9).select("k1", "k2").distinct())
+        free(ends)
+        return out
+
+    def cols(p: str) -> list[Column]:
+        return [F.col(f"{p}{x}") for x in lanes]
+
+    # families: each set with the earliest one of those that have the same least or greatest hash
+    joining = sets.where(F.size("prefix") > 0)
+    ends = joining.select("k1", "k2", "place", "n", *lanes, F.posexplode(F.array("lo", "hi")).alias("which", "h"))
+    several = ends.groupBy("which", "h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    ends = ends.where(bitmap_of(several, "which", "h"))
+    lead = ends.groupBy("which", "h").agg(F.min(F.struct("place", "n", *lanes)).alias("lead"))
+    near = ends.join(lead, ["which", "h"])
     zero = F.lit(0)
-    near = near.where((F.col("sid") != F.col("lead.sid")) & may_match(F.col("n"), zero, F.col("lead.n"), zero, F.col("parity"), F.col("lead.parity")))
-    gone = verified(near.select(F.col("lead.sid").alias("a"), F.col("sid").alias("b")).distinct())
+    near = near.where((F.col("place") != F.col("lead.place")) & may_match(F.col("n"), zero, F.col("lead.n"), zero, cols(""), cols("lead.")))
+    gone = verified(near.select(F.col("lead.place").alias("pa"), F.col("place").alias("pb"), "k1", "k2").distinct())
     # the bitmap says for most sets that they are not among those; only the others are looked up
-    lean = sets.where(F.size("prefix") > 0).select("sid", "n", "parity", "prefix")
-    listed = bitmap_of(gone, "sid")
-    known = lean.where(listed).join(gone.withColumn("gone", F.lit(1)), "sid", "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
+    key = ["k1", "k2"]
+    lean = joining.select(*key, "n", *lanes, "prefix")
+    listed = bitmap_of(gone, *key)
+    known = lean.where(listed).join(gone.withColumn("gone", F.lit(1)), key, "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
     all_sets = lean.where(~listed).withColumn("gone", F.lit(0)).unionByName(known)
-    # one row for each prefix word: word, set, size, position and flag, sketch
-    prefix = all_sets.select("sid", "n", "parity", "gone", F.posexplode("prefix").alias("p", "w"))
-    packed = F.shiftleft(F.col("n").cast("bigint"), 24) + F.shiftleft(F.least("p", F.lit((1 << 23) - 1)).cast("bigint"), 1) + F.col("gone")
-    prefix = prefix.select("w", "sid", packed.alias("m"), "parity")
-    x = prefix.select("w", F.col("sid").alias("a"), F.col("m").alias("ma"), F.col("parity").alias("pa"))
-    y = prefix.select(F.col("w").alias("w2"), F.col("sid").alias("b"), F.col("m").alias("mb"), F.col("parity").alias("pb"))
-    at = lambda m: F.shiftright(m, 1).bitwiseAND(F.lit((1 << 23) - 1))
-    both_go = F.col("ma").bitwiseAND(F.col("mb")).bitwiseAND(F.lit(1)) == 1
-    cond = (x["w"] == y["w2"]) & (x["a"] < y["b"]) & ~both_go & may_match(F.shiftright("ma", 24), at(F.col("ma")), F.shiftright("mb", 24), at(F.col("mb")), F.col("pa"), F.col("pb"))
-    gone = gone.union(verified(x.join(y, cond).select("a", "b").distinct(), gone)).distinct()
-    flags = sets.select("k1", "k2", "place", "sid").join(gone.withColumn("gone", F.lit(True)), "sid", "left")
-    out = lines.select("k1", "k2", "rid", "pos").join(flags, ["k1", "k2"])
-    out = out.where(F.col("gone") | (F.col("rid") != F.col("place.rid")) | (F.col("pos") != F.col("place.pos")))
-    return out.groupBy("rid").agg(F.sort_array(F.collect_list("pos")).alias("removed"))
-
-
-def line_dedup(docs: DataFrame, threshold: float = 0.8, least: int = 3) -> DataFrame:
+    # a narrow row for each prefix word: word, identity, sketch; size, position and flag share a long with k2. Too large a size or
+    # position counts as the largest one that there is room for, which lets more pairs through, never fewer
+    prefix = all_sets.select(*key, "n", *lanes, "gone", F.posexplode("prefix").alias("p", "w"))
+    small = F.shiftleft(F.least("n", F.lit(MOST_N)), 12) + F.shiftleft(F.least("p", F.lit(MOST_P)), 1) + F.col("gone")
+    prefix = prefix.withColumn("m", F.shiftleft(F.col("k2").cast("bigint"), 32) + small.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
+    row = ["w", "k1", "m", *lanes]
+    x = prefix.select(*(F.col(c).alias(f"a_{c}") for c in row))
+    y = prefix.select(*(F.col(c).alias(f"b_{c}") for c in row))
+    size = lambda m: F.shiftright(m, 12).bitwiseAND(F.lit(MOST_N)).cast("int")
+    at = lambda m: F.shiftright(m, 1).bitwiseAND(F.lit(MOST_P)).cast("int")
+    k2 = lambda m: F.shiftright(m, 32).cast("int")
+    ordered = (F.col("a_k1") < F.col("b_k1")) | ((F.col("a_k1") == F.col("b_k1")) & (k2("a_m") < k2("b_m")))
+    both_go = F.col("a_m").bitwiseAND(F.col("b_m")).bitwiseAND(F.lit(1)) == 1
+    fits = may_match(size("a_m"), at("a_m"), size("b_m"), at("b_m"), cols("a_"), cols("b_"))
+    pairs = x.join(y, (x["a_w"] == y["b_w"]) & ordered & ~both_go & fits)
+    pairs = written(pairs.select("a_k1", k2("a_m").alias("a_k2"), "b_k1", k2("b_m").alias("b_k2")).distinct())
+    ids = pairs.select(F.explode(F.array(*(F.struct(F.col(f"{p}_k1").alias("k1"), F.col(f"{p}_k2").alias("k2")) for p in "ab"))).alias("x")).select("x.*")
+    where = sets.select(*key, "place").where(bitmap_of(ids, *key))
+    ends = [where.select(*(F.col(c).alias(f"{p}_{c}") for c in where.columns)) for p in "ab"]
+    placed = pairs.join(ends[0], ["a_k1", "a_k2"]).join(ends[1], ["b_k1", "b_k2"])
+    later = F.when(F.col("a_place") < F.col("b_place"), F.struct(F.col("b_k1").alias("k1"), F.col("b_k2").alias("k2"))).otherwise(F.struct(F.col("a_k1").alias("k1"), F.col("a_k2").alias("k2")))
+    placed = placed.select(F.col("a_place").alias("pa"), F.col("b_place").alias("pb"), later.alias("x")).select("pa", "pb", "x.*")
+    more = verified(placed.join(gone, key, "left_anti"))
+    # lines of sets that go, and all but the first line of the others
+    every = written(gone.union(more).distinct())
+    out = lines.where(bitmap_of(every, *key)).join(every, key, "left_semi").select("rid", "pos")
+    firsts = first.select(*key, "place")
+    copies = lines.where(shared).select(*key, "rid", "pos").join(firsts, key).where((F.col("rid") != F.col("place.rid")) | (F.col("pos") != F.col("place.pos")))
+    out = written(out.union(copies.select("rid", "pos")))
+    free(stored, first, gone, more, pairs, every)
+    return out.groupBy("rid").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
+
+
+def line_dedup(docs: DataFrame, threshold: float = 0.8, least: int = 1) -> DataFrame:
     """docs with each ``text`` less its removed lines, ``n_lines`` and ``removed``; null and empty texts have nothing to lose.
 
     Equal rows each keep a row. ``docs`` comes from :func:`llm.common.base`
-    and may have any other columns but those two.
+    and may have any other columns; those two are replaced. Very long lines
+    are compared whole.
     """
+    docs = docs.drop("n_lines", "removed")
     out = docs.join(decisions(docs, threshold, least), "rid", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda x, i: ~F.array_contains("removed", i))
@@ -143,6 +186,6 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lines, lines removed, and the removed lines' positions; texts are not moved for that."""
     docs = base(documents(spark, sf_dir))
     counts = docs.select("rid", "doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
-    out = counts.join(decisions(docs, least=1), "rid", "left")
+    out = counts.join(decisions(docs), "rid", "left")
     n = F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long")
     return out.select("doc_id", "n_lines", n.alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
