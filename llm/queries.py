@@ -24,7 +24,7 @@ ORACLES: dict[str, str] = {
     "op6_line_dedup": f"""
 WITH lines AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
 cut AS (SELECT doc_id, pos, list_sort(list_distinct({_WORDS.format("line")})) AS ws FROM lines),
-kept AS (SELECT * FROM cut WHERE len(ws) >= 3),
+kept AS (SELECT * FROM cut WHERE len(ws) >= 1),
 sets AS (SELECT ws, min(struct_pack(d := doc_id, p := pos)) AS place, row_number() OVER () AS sid FROM kept GROUP BY ws),
 tokens AS (SELECT sid, place, len(ws) AS n, unnest(ws) AS w FROM sets),
 pairs AS (SELECT a.sid AS a, b.sid AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM tokens a JOIN tokens b ON a.w = b.w AND a.place < b.place GROUP BY 1, 2),
