@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,7 +89,6 @@ def test_flac_round_trip(docs, empty):
 
 
 def test_flac_finds_damage():
-    import numpy as np
 
     noise = np.random.default_rng(1).integers(0, 256, flac.BLOCK * 3, np.uint8).tobytes()
     for payload in (bytes(flac.BLOCK), noise, flac.payload_of("a" * 3000)):
@@ -132,7 +132,6 @@ def test_near_duplicates(docs, empty):
 
 
 def test_probability_jaccard():
-    import numpy as np
 
     x = (np.array([1, 2, 3], np.uint64), np.array([1, 2, 3]))
     y = (np.array([2, 3, 9], np.uint64), np.array([4, 1, 5]))
@@ -148,7 +147,8 @@ def test_probability_jaccard():
     assert abs(agree - minhash_dedup.similarity(a, b)) < 0.05
 
 
-def test_line_dedup(docs, empty):
+@pytest.mark.parametrize("least", [1, 3])
+def test_line_dedup(docs, empty, least):
     seen: list[frozenset] = []
     at = defaultdict(list)
     want = {}
@@ -156,7 +156,7 @@ def test_line_dedup(docs, empty):
         gone = []
         for k, line in enumerate((t or "").split("\n")):
             s = frozenset(split(line))
-            if len(s) < 3:
+            if len(s) < least:
                 continue
             shared = Counter(j for w in s for j in at[w])
             if any(n >= 0.8 * (len(s) + len(seen[j]) - n) - 1e-9 for j, n in shared.items()):
@@ -166,13 +166,33 @@ def test_line_dedup(docs, empty):
             seen.append(s)
         if gone:
             want[rid] = gone
-    got = {r.rid: r.removed for r in line_dedup.decisions(base(docs)).collect()}
+    got = {r.rid: r.removed for r in line_dedup.decisions(base(docs), least=least).collect()}
     assert got == want
-    out = {r.rid: r.text for r in line_dedup.line_dedup(base(docs)).collect()}
+    out = {r.rid: r.text for r in line_dedup.line_dedup(base(docs), least=least).collect()}
     assert out == {rid: "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in want.get(rid, ())) for rid, _, t in in_order(docs)}
     assert line_dedup.line_dedup(base(empty)).count() == 0
 
 
+def test_near_duplicate_bound_holds(spark):
+    """No pair that is similar enough has more shingles of its own than the sketches are held against."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for _ in range(4000):
+        n = int(rng.integers(2, 60))
+        x = rng.geometric(rng.choice([0.1, 0.5, 0.99]), n)
+        y = np.maximum(0, x + rng.integers(-2, 3, n) * (rng.random(n) < rng.random() * 0.5))
+        keys = np.arange(n).astype(np.uint64)
+        a, b = (keys[x > 0], x[x > 0]), (keys[y > 0], y[y > 0])
+        if len(a[0]) and len(b[0]):
+            own = len(np.setxor1d(a[0], b[0]))
+            again = int(a[1].sum() - len(a[0]) + b[1].sum() - len(b[0]))
+            rows.append((float(minhash_dedup.similarity(a, b)), int(a[1].sum()), int(b[1].sum()), again, own))
+    df = spark.createDataFrame(rows, "s double, x long, y long, again long, own long")
+    similar = df.where("s >= 0.8")
+    assert similar.count() > 200
+    assert similar.where(F.col("own") > minhash_dedup.most_apart(F.col("x"), F.col("y"), F.col("again"), 0.8) + 1e-6).isEmpty()
+
+
 def test_line_dedup_is_native(docs):
     plan = line_dedup.line_dedup(base(docs))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -217,7 +237,6 @@ def naive_repeats(codes):
 def test_suffix_array_repeats():
     import random
 
-    import numpy as np
 
     rng = random.Random(2)
     for n in (0, 1, 2, 5, 30, 60):
