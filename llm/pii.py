@@ -1,13 +1,15 @@
 """Personal data: base patterns and bootstrapped contextual extraction.
 
 Base spans of four kinds are the seed entities. Their contexts induce
-lexical patterns: the folded word before (or after) an identifier-like word.
-Spark scores the graph of patterns and instances in rounds: a pattern is as
-trustworthy as the share of its distinct instances that are known
-identifiers of its kind, an instance as the patterns that it is found with.
-Patterns that many distinct seeds support and hardly any other instance
-contradicts extract further instances, whose spans are added. Base spans
-always stay.
+lexical patterns: the two folded words before (or the one after) an
+identifier-like run. Spark scores the graph of patterns and instances in
+rounds. A pattern's worth for a kind is the scores of its distinct known
+instances of that kind over all of its instances' weights: their scores where
+they are known, whatever their kind, and a small doubt where they are not. A
+pattern with enough known instances and worth votes for its others; an
+instance that the votes make sure of is known from the next round on, and so
+supports patterns that no seed was found with. The spans of the instances of
+the last round's good patterns are added. Base spans always stay.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_MARKED = re.compile(r"(?<![^ \t-\r])[^ \t-\r0-9@]*+[0-9@][^ \t-\r]*+")  # a word with a digit or @
+_MARKED = re.compile(r"(?<![^ \t-\r])[^ \t-\r0-9@]*+[0-9@][^ \t-\r]*+(?: [(]?[0-9][0-9().-]*+(?![^ \t-\r.,;:!?]))*+")  # a word with a digit or @, and groups of digits after it
 _EDGE = re.compile(r"^[^\w+@]+|[^\w]+$")
 
 
@@ -81,10 +83,22 @@ def _fold(word: str) -> str:
     return re.sub(r"[^\w@:=]+", "", word).lower()
 
 
+def _before(text: str, at: int) -> list[str]:
+    """The last two words before a position, whole however long they are."""
+    width = 80
+    while True:
+        start = max(0, at - width)
+        words = WORD.findall(text[start:at])
+        if not start or len(words) > 2:  # the first one may be cut
+            return words[-2:]
+        width *= 4
+
+
 def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str | None, int, int, str]]:
-    """(instance, kind of the base span or None, start, end, pattern) of identifier-like words and base spans, each with the word before and the one after.
+    """(instance, kind of the base span or None, start, end, pattern) of identifier-like runs and base spans, each with the words before and the one after.
 
-    Identifier-like: five characters or more, at least two digits or an @.
+    Identifier-like: a word with a digit or an @, and groups of digits that
+    follow it after single blanks; five characters or more, at least two digits or an @.
     """
     found = [(a, b, k) for k, a, b in spans]
     taken = sorted((a, b) for a, b, _ in found)
@@ -101,24 +115,37 @@ def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, st
         found.append((a, b, None))
     out = []
     for a, b, kind in found:
-        start = max(0, a - 80)
-        before = WORD.findall(text[start:a])
+        before = _before(text, a)
         after = WORD.search(text, b)
         context = []
         if before:
-            context.append("<" + " ".join(map(_fold, before[-2:])))
+            context.append("<" + " ".join(map(_fold, before)))
         if after:
             context.append(">" + _fold(after[0]))
         out += [(text[a:b].lower(), kind, a, b, c) for c in context if len(c) > 1]
     return out
 
 
-def extract(docs: DataFrame, rounds: int = 3, support: int = 5, trust: float = 0.9) -> DataFrame:
+def worthy(edges: DataFrame, known: DataFrame, support: int, trust: float, doubt: float) -> DataFrame:
+    """pattern, pattern_kind and worth of the patterns that known instances (instance, kind, score) support enough."""
+    seen = edges.select("pattern", "instance").join(known.select("instance", F.col("kind").alias("of"), "score"), "instance", "left")
+    sums = [F.sum(F.when(F.col("of") == k, F.col("score")).otherwise(0.0)).alias(f"sum_{k}") for k in KINDS]
+    counts = [F.count(F.when(F.col("of") == k, 1)).alias(f"n_{k}") for k in KINDS]
+    all_weights = F.sum(F.coalesce("score", F.lit(doubt))).alias("all_")
+    by_pattern = seen.groupBy("pattern").agg(*sums, *counts, all_weights)
+    best = F.greatest(*(F.struct((F.col(f"sum_{k}") / F.col("all_")).alias("worth"), F.col(f"n_{k}").alias("n"), F.lit(k).alias("kind")) for k in KINDS))
+    best = by_pattern.select("pattern", best.alias("best")).select("pattern", F.col("best.kind").alias("pattern_kind"), F.col("best.worth").alias("worth"), F.col("best.n").alias("n"))
+    return best.where((F.col("n") >= support) & (F.col("worth") >= trust)).select("pattern", "pattern_kind", "worth")
+
+
+def extract(docs: DataFrame, rounds: int = 4, support: int = 5, trust: float = 0.9, doubt: float = 0.1) -> DataFrame:
     """rid, doc_id, n_email, n_ip, n_card, n_phone, base (base spans) and found (base and added spans), as kind:start:end joined by commas.
 
-    ``support``: distinct seed instances a pattern needs; ``trust``: the share
-    of its distinct instances that must be known. Null and empty texts have no
-    spans. ``docs`` comes from :func:`llm.common.base`.
+    ``support``: distinct known instances a pattern needs; ``trust``: the worth
+    that it and the votes for an instance need; ``doubt``: what an unknown
+    instance weighs. Null and empty texts have no spans; very long ones are
+    read whole. Equal rows each get a row and count once as instances. ``docs``
+    comes from :func:`llm.common.base`; its other columns are left out.
     """
     texts = docs.select("rid", "doc_id", "text")
 
@@ -131,23 +158,18 @@ def extract(docs: DataFrame, rounds: int = 3, support: int = 5, trust: float = 0
 
     seen = written(texts.mapInArrow(scan, "rid long, instance string, kind string, a int, b int, pattern string"))
     edges = written(seen.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
-    # patterns that no seed supports enough never count, whatever the rounds find
-    able = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= support)
-    able = able.groupBy("pattern").agg(F.max_by("kind", "seeds").alias("pattern_kind"), F.max("seeds").alias("seeds"))
-    edges = written(edges.join(able, "pattern"))
-    scores = edges.select("instance", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0).alias("score")).groupBy("instance").agg(F.max("score").alias("score"))
+    seeds = edges.where("kind is not null").groupBy("instance").agg(F.max("kind").alias("kind"), F.lit(1.0).alias("score"))
+    known = seeds
     for _ in range(rounds):
-        known = edges.join(scores, "instance")
-        right = F.when(F.col("kind").isNull() | (F.col("kind") == F.col("pattern_kind")), F.col("score")).otherwise(0.0)
-        patterns = known.groupBy("pattern", "pattern_kind", "seeds").agg((F.sum(right) / F.count(F.lit(1))).alias("worth"))
-        voted = edges.join(patterns.select("pattern", "worth"), "pattern").groupBy("instance").agg(
-            F.max(F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0)).alias("seed"),
-            # independent patterns: one minus the product of the doubts
-            (1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("worth")))))).alias("vote"),
+        good = written(worthy(edges, known, support, trust, doubt))
+        votes = edges.where("kind is null").join(good, "pattern").groupBy("instance", "pattern_kind").agg(
+            (1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("worth")))))).alias("score")  # one less the product of the doubts
         )
-        scores = written(voted.select("instance", F.when(F.col("seed") > 0, 1.0).otherwise(F.when(F.col("vote") >= trust, F.col("vote")).otherwise(0.0)).alias("score")))
-        last = patterns
-    good = last.where(F.col("worth") >= trust).select("pattern", "pattern_kind")
+        best = votes.groupBy("instance").agg(F.max(F.struct("score", "pattern_kind")).alias("best"))
+        sure = best.where(F.col("best.score") >= trust).select("instance", F.col("best.pattern_kind").alias("kind"), F.col("best.score").alias("score"))
+        # what is a seed somewhere stays one
+        known = written(seeds.union(sure.join(seeds, "instance", "left_anti").select("instance", "kind", "score")))
+    good = worthy(edges, known, support, trust, doubt)
     added = seen.where("kind is null").join(good, "pattern").groupBy("rid", "a", "b").agg(F.min("pattern_kind").alias("kind"))
     added = added.groupBy("rid").agg(F.collect_list(F.struct("kind", "a", "b")).alias("added"))
 
@@ -163,8 +185,8 @@ def extract(docs: DataFrame, rounds: int = 3, support: int = 5, trust: float = 0
     both = own.join(added, "rid", "left")
     one = lambda s: F.struct(F.array_position(_kinds(), F.split(s, ":")[0]).alias("o"), F.split(s, ":")[1].cast("int").alias("a"), s.alias("s"))
     named = F.transform("added", lambda x: F.concat_ws(":", x["kind"], x["a"], x["b"]))
-    merged = F.array_sort(F.transform(F.concat(F.split("base", ","), named), one))
-    found = F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_join(F.transform(F.filter(merged, lambda x: x["s"] != ""), lambda x: x["s"]), ","))
+    merged = F.array_sort(F.transform(F.concat(F.when(F.col("base") == "", F.array().cast("array<string>")).otherwise(F.split("base", ",")), named), one))
+    found = F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_join(F.transform(merged, lambda x: x["s"]), ","))
     return both.select("rid", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", found.alias("found"))
 
 
