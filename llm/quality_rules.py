@@ -27,8 +27,8 @@ class Rules:
     min_words: int = 50
     max_repeat_words_pct: int = 50
     least: int = 6  # words a repeat must have to count
-    max_covered: float = 0.5  # of all words
-    max_longest: float = 0.4  # of all words
+    max_covered: float = 0.3  # of all words; stricter than the base rule, which counts repeats of three words
+    max_longest: float = 0.15  # of all words
 
 
 def longest_repeats(codes: np.ndarray) -> np.ndarray:
