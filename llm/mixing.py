@@ -97,13 +97,15 @@ def mix(docs: DataFrame, members: Column, size: Column, weights: tuple[int, ...]
     source's size counts all its documents, a document in two sources in both.
     Empty or null arrays count as the null source. Documents without words are
     taken in as many passes as all of their pattern. Copies follow a seeded
-    hash of doc_id, text and row, so reruns over the same table agree.
+    hash of doc_id, text and the column ``rid`` where docs has one, so reruns
+    over the same table agree; without it equal rows are taken alike.
     ``docs`` may have any columns but those named here.
     """
     spark = docs.sparkSession
     m = F.array_sort(F.array_distinct(members))
     m = F.when(F.size(m) > 0, m).otherwise(F.array(F.lit(None).cast("string")))
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    own = [F.col("rid")] if "rid" in docs.columns else []  # equal rows have places of their own in the order
+    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"), *own)
     keyed = docs.select("*", m.alias("mix_members"), key.alias("mix_key")).withColumn("mix_bucket", F.shiftrightunsigned("mix_key", 54).cast("int"))
     words = F.coalesce(size, F.lit(0)).cast("long")
     sums = written(keyed.groupBy("mix_members", "mix_bucket").agg(F.sum(words).alias("w")))  # BUCKETS rows for each pattern at most
@@ -124,7 +126,7 @@ def mix(docs: DataFrame, members: Column, size: Column, weights: tuple[int, ...]
     # the bucket in which a pattern's last pass ends, and the key of the last document that it takes there
     upto = F.sum("w").over(Window.partitionBy("mix_j").orderBy("mix_bucket"))
     ends = sums.select(name.alias("mix_j"), "mix_bucket", "w").withColumn("upto", upto).join(plan_df.select("mix_j", "mix_rest"), "mix_j")
-    ends = ends.where((F.col("upto") > F.col("mix_rest")) & (F.col("upto") - F.col("w") <= F.col("mix_rest")))
+    ends = ends.where((F.col("mix_rest") > 0) & (F.col("upto") > F.col("mix_rest")) & (F.col("upto") - F.col("w") <= F.col("mix_rest")))
     ends = ends.groupBy("mix_j").agg(F.min("mix_bucket").alias("mix_border"), F.min(F.col("mix_rest") - F.col("upto") + F.col("w")).alias("mix_room"))
     near = keyed.select("*", name.alias("mix_j")).join(F.broadcast(ends), "mix_j")  # a row for each pattern
     near = near.where(F.col("mix_bucket") == F.col("mix_border")).select("mix_j", "mix_key", "mix_room", words.alias("w"))
