@@ -284,6 +284,55 @@ def test_pii_base_and_context(spark, docs, empty):
     assert pii.extract(base(empty)).count() == 0
 
 
+def test_pii_rounds_reach_what_no_seed_is_next_to(spark):
+    """Seeds induce a pattern, its other instances a second one, and that one finds an identifier in a text without base spans."""
+    rows = [(i, f"pls write me at user{i}@mail.example.com, {i}x") for i in range(9)]
+    rows += [(20 + i, f"pls write me at hidden{i}_at_site99 today\nor by handle hidden{i}_at_site99 there") for i in range(6)]
+    rows += [(40, "now use by handle only77_in_this place"), (41, "in the year 1984 so far"), (42, "by handle (743) 555-3824 it"), (43, "write me at\t" + "x" * 300 + "99 end")]
+    got = {r.doc_id: (r.base, r.found) for r in pii.extract(base(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got[20] == ("", "email:16:33,email:53:70")
+    assert got[40] == ("", "email:18:32") and got[41] == ("", "")
+    assert got[42] == ("", "email:11:24")
+    assert got[43] == ("", f"email:12:{12 + 302}")
+    one = {r.doc_id: r.found for r in pii.extract(base(spark.createDataFrame(rows, "doc_id long, text string")), rounds=0).collect()}
+    assert one[20] == "email:16:33" and one[40] == ""
+
+
+def test_pii_scores_by_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    edges = {(f"p{rng.randint(0, 12)}", f"i{rng.randint(0, 60)}") for _ in range(400)}
+    known = {f"i{i}": (rng.choice(["email", "email", "email", "ip"]), rng.choice([1.0, 0.95])) for i in range(45)}
+    want = {}
+    for p in {p for p, _ in edges}:
+        mine = [i for q, i in edges if q == p]
+        total = sum(known[i][1] if i in known else 0.1 for i in mine)
+        worth = {k: (sum(known[i][1] for i in mine if i in known and known[i][0] == k) / total, sum(i in known and known[i][0] == k for i in mine)) for k in pii.KINDS}
+        kind, (w, n) = max(worth.items(), key=lambda x: (x[1], x[0]))
+        if w >= 0.6 and n >= 5:
+            want[p] = (kind, pytest.approx(w))
+    df = spark.createDataFrame(sorted(edges), "pattern string, instance string")
+    seeds = spark.createDataFrame([(i, *x) for i, x in known.items()], "instance string, kind string, score double")
+    got = {r.pattern: (r.pattern_kind, r.worth) for r in pii.worthy(df, seeds, 5, 0.6, 0.1).collect()}
+    assert want and got == want
+
+
+def test_quality_method_decides_under_default_rules():
+    words = [f"w{i}" for i in range(200)]
+    part = words[:45]
+    n, *_, failed, kept, cover, longest = quality_rules.measure(" ".join(words + part), quality_rules.Rules())
+    assert (n, failed, kept, cover, longest) == (245, False, False, 90, 45)
+    assert quality_rules.measure(" ".join(words + part[:20]), quality_rules.Rules())[6]
+
+
+def test_mixing_takes_part_of_equal_rows(spark):
+    df = spark.createDataFrame([(7, "a b c d e f g h i j", "s")] * 3000 + [(8, "x " * 40_000, "t")], "doc_id long, text string, source string")
+    rows = mixing.mix(base(df, "source"), F.array("source"), n_words(F.col("text"))).groupBy("source").agg(F.sum(F.col("mix_size") * F.col("mix_copies")).alias("n"), F.max("mix_target").alias("t")).collect()
+    got = {r.source: (r.n, r.t) for r in rows}
+    assert abs(got["s"][0] - got["s"][1]) <= 10
+
+
 def test_pii_base_is_the_plain_patterns():
     import random
 
