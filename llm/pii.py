@@ -84,11 +84,11 @@ def _fold(word: str) -> str:
 
 
 def _before(text: str, at: int) -> list[str]:
-    """The last two words before a position, whole however long they are."""
+    """The last two words before a position, folded, whole however long they are; punctuation alone is no word."""
     width = 80
     while True:
         start = max(0, at - width)
-        words = WORD.findall(text[start:at])
+        words = [x for x in map(_fold, WORD.findall(text[start:at])) if x]
         if not start or len(words) > 2:  # the first one may be cut
             return words[-2:]
         width *= 4
@@ -119,7 +119,7 @@ def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, st
         after = WORD.search(text, b)
         context = []
         if before:
-            context.append("<" + " ".join(map(_fold, before)))
+            context.append("<" + " ".join(before))
         if after:
             context.append(">" + _fold(after[0]))
         out += [(text[a:b].lower(), kind, a, b, c) for c in context if len(c) > 1]
