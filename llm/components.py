@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,10 +19,13 @@ def components(edges: DataFrame) -> DataFrame:
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
-        heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("heard"))
-        new = labels.join(heard, labels["node"] == heard["a"]).select("node", F.least("label", "heard").alias("label"), F.col("label").alias("was"))
+        heard = both.join(labels.select("node", "label"), F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("heard"))
+        new = labels.select("node", "label").join(heard, F.col("node") == F.col("a")).select("node", F.least("label", "heard").alias("label"), F.col("label").alias("was"))
         jump = new.select(F.col("node").alias("j"), F.col("label").alias("jumped"))
-        new = written(new.join(jump, new["label"] == jump["j"], "left").select("node", F.least("label", F.coalesce("jumped", "label")).alias("label"), "was"))
-        if new.where("label <> was").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+        old, labels = labels, written(new.join(jump, new["label"] == jump["j"], "left").select("node", F.least("label", F.coalesce("jumped", "label")).alias("label"), "was"))
+        free(old)
+        if labels.where("label <> was").isEmpty():
+            free(both)
+            out = labels.select("node", "label")
+            out.written_at = labels.written_at  # for whoever frees it
+            return out

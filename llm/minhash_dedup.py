@@ -10,13 +10,13 @@ which are verified exactly on the texts.
 
 Equal word sequences are one class from the start. A bucket's texts are first
 compared with one of them (a star, not all pairs) and linked ones joined into
-classes; two more rounds do so with another leader, for buckets that still
+classes; further rounds do so with another leader, for buckets that still
 hold several classes. Only texts of one bucket that are in different classes
 even then are all compared, so no link between different texts is lost and no
 group of copies is expanded into pairs. Pairs are also held against parity
 sketches of their shingles before any text is read: two sketches differ in at
-most as many bits as the sets differ in shingles, so where all shingles occur
-once, too many bits prove a similarity below the threshold.
+most as many bits as the sets differ in shingles, and that number is bounded
+for any pair that is similar enough (:func:`most_apart`).
 """
 
 from __future__ import annotations
@@ -30,12 +30,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import base, bitmap_of, documents, pieces, written
+from .common import base, bitmap_of, documents, free, pieces, written
 from .components import components
 from .hashing import WordHashes, scramble, windows, words_of
 
 BANDS, ROWS = 20, 4
-LANES = 16  # longs of a parity sketch
+ROUNDS, LEADERS = 2, 8  # of further stars, and other leaders of a bucket in each
+EARLIER = 4  # bands
+LANES = 32  # longs of a parity sketch
+HELD = 2_000_000  # shingles that a verifying task keeps
 FIXED_SEED = np.uint64(0xA24BAED4963EE407)
 
 
@@ -93,57 +96,86 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((1.0 / ((sum_x[cut] + only_x) / x + (sum_y[cut] + only_y) / y)).sum())
 
 
+def most_apart(x: Column, y: Column, again: Column, t: float) -> Column:
+    """Shingles that only one of two texts may have at similarity t: x and y shingles with repeats, ``again`` of them repeats in their text.
+
+    Let o be the occurrences of such shingles, A and B the others' in each text, R the repeats. A common
+    shingle's term in the similarity is at most its count in one text over that text's total plus the
+    other text's part of o (the text chosen by the larger count), so it is at most (min(A, B) + R) /
+    (min(A, B) + o), and min(A, B) is at most (x + y - o) / 2. Without repeats this is the bound of plain
+    Jaccard. For texts with many repeats there is another one. The terms are at most max(x_d, y_d) / S,
+    S being the sum of max(x_e, y_e) over all shingles, so the similarity is at most 1 - o / S. It is at
+    most 1 less the total variation distance, too, which bounds the sum D of |x_e - y_e| by
+    2 (1 - t) min(x, y) + |x - y|, and S is (x + y + D) / 2.
+    """
+    return F.least(((1 - t) * (x + y) + 2 * again) / (1 + t), (1 - t) * (F.greatest(x, y) + (1 - t) * F.least(x, y)))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs' doc_id, text and rid plus ``class_rid`` (the rid of the class's first row), ``class_id`` (its doc_id) and ``class_size``.
 
     First is by doc_id, null last, then row. Texts without words (null, empty)
-    are a class each. Equal rows are one class. ``docs`` comes from
-    :func:`llm.common.base`.
+    are a class each. Equal rows are one class. Very long texts are compared
+    whole. ``docs`` comes from :func:`llm.common.base`; of its other columns,
+    those with the three names above are replaced.
     """
+    docs = docs.drop("class_rid", "class_id", "class_size")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in pieces(batches):
-            content, sigs, n, once, parity = [], [], [], [], []
+            content, sigs, total, again, parity = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
                 content.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")) if words else None)
                 keys, weights = shingles(hashes.of(words), size)
                 sigs.append(signature(keys, weights, bands * rows) if words else None)
-                n.append(len(keys))
-                once.append(bool((weights == 1).all()))
+                total.append(int(weights.sum()))
+                again.append(int(weights.sum()) - len(keys))
                 parity.append(sketch(keys) if words else None)
-            columns = [batch.column("rid"), batch.column("doc_id"), pa.array(content, pa.binary()), pa.array(sigs, pa.list_(pa.int32())), pa.array(n, pa.int32()), pa.array(once), pa.array(parity, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "content", "sig", "n", "once", "parity"])
+            columns = [batch.column("rid"), batch.column("doc_id"), pa.array(content, pa.binary()), pa.array(sigs, pa.list_(pa.int32())), pa.array(total, pa.int32()), pa.array(again, pa.int32()), pa.array(parity, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "content", "sig", "total", "again", "parity"])
 
-    signed = docs.select("rid", "doc_id", "text").mapInArrow(sign, "rid long, doc_id long, content binary, sig array<int>, n int, once boolean, parity array<bigint>")
+    signed = docs.select("rid", "doc_id", "text").mapInArrow(sign, "rid long, doc_id long, content binary, sig array<int>, total int, again int, parity array<bigint>")
     signed = written(signed.where("content is not null"))
 
     def sketches(p: str) -> DataFrame:
-        return signed.select(F.col("rid").alias(p), F.col("n").alias(f"n{p}"), F.col("once").alias(f"once{p}"), *(F.get("parity", F.lit(i)).alias(f"{p}{i}") for i in range(LANES)))
+        """Columns that Spark knows to have no nulls: the condition on two sketches is then short enough to be compiled."""
+        whole = lambda x: F.coalesce(x, F.lit(0))
+        return signed.select(F.col("rid").alias(p), whole(F.col("total")).alias(f"n{p}"), whole(F.col("again")).alias(f"again{p}"), *(whole(F.get("parity", F.lit(i))).alias(f"{p}{i}") for i in range(LANES)))
 
     def plausible() -> Column:
         """Of a pair (a, b) with both sketches: the similarity may reach the threshold."""
         apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(LANES)))
-        most = (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-6
-        return ~(F.col("oncea") & F.col("onceb")) | (apart <= most)
+        return apart <= most_apart(F.col("na"), F.col("nb"), F.col("againa") + F.col("againb"), threshold) + 1e-6
+
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("rid").alias("rid"))
     first = signed.groupBy("content").agg(F.min(place).alias("first"))
     member = written(signed.select("rid", "content").join(first, "content").select("rid", F.col("first.rid").alias("rep")))
     reps = signed.join(member.where("rid = rep").select("rid"), "rid").select("rid", "sig")
-    bucket = F.explode(F.array([F.xxhash64(F.lit(i), F.slice("sig", i * rows + 1, rows)) for i in range(bands)]))
-    banded = reps.select("rid", bucket.alias("h"))
+    buckets = F.array([F.xxhash64(F.lit(i), F.slice("sig", i * rows + 1, rows)) for i in range(bands)])
+    banded = reps.select("rid", F.posexplode(buckets).alias("band", "h"))
     sizes = banded.groupBy("h").agg(F.min("rid").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    banded = written(banded.join(sizes, "h").select("h", "rid", "least"))  # only buckets with two texts or more
+    banded = written(banded.join(sizes, "h").select("h", "band", "rid", "least"))  # only buckets with two texts or more
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last = WordHashes(), (None, None)
+        hashes, held, room = WordHashes(), {}, 0
+
+        def shingled(rid: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+            """From a memory of HELD shingles at most, beside those of a single text."""
+            nonlocal room
+            if rid not in held:
+                held[rid] = shingles(hashes.of(words_of(text)), size)
+                room += len(held[rid][0]) + 64
+                while room > HELD and len(held) > 2:
+                    room -= len(held.pop(next(iter(held)))[0]) + 64
+            return held[rid]
+
         for batch in pieces(pieces(batches, column="ta"), column="tb"):
             keep = []
-            for a, ta, tb in zip(batch.column("a").to_pylist(), batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                if last[0] != a:
-                    last = a, shingles(hashes.of(words_of(ta)), size)
-                keep.append(similarity(last[1], shingles(hashes.of(words_of(tb)), size)) >= threshold - 1e-12)
+            for a, b, ta, tb in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
+                first = shingled(a, ta)
+                keep.append(similarity(first, shingled(b, tb)) >= threshold - 1e-12)
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -155,35 +187,64 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
 
     def star(pairs: DataFrame) -> DataFrame:
         near = pairs.distinct().join(sketches("b"), "b").join(sketches("a"), "a").where(plausible())
-        return written(links(written(near.select("a", "b"))))
+        near = written(near.select("a", "b"))
+        out = written(links(near))
+        free(near)
+        return out
+
+    spent: list[DataFrame] = []
 
     def labelled_by(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The bucket rows with their classes, and the buckets that hold several."""
         label = components(edges)
-        rows_ = banded.join(label.withColumnRenamed("node", "rid"), "rid", "left").select("h", "rid", "least", F.coalesce("label", "rid").alias("label"))
+        spent[:] = [label]
+        rows_ = banded.join(label.withColumnRenamed("node", "rid"), "rid", "left").select("h", "band", "rid", "least", F.coalesce("label", "rid").alias("label"))
         return rows_, rows_.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
 
+    def may_link(x: Column) -> Column:
+        """A leader x of another class than the row's, with a plausible sketch."""
+        apart = F.aggregate(F.zip_with(x["parity"], F.col("parity"), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, n: s + n)
+        return (x["label"] != F.col("label")) & (apart <= most_apart(x["total"], F.col("total"), x["again"] + F.col("again"), threshold) + 1e-6)
+
     edges = star(banded.where("rid <> least").select(F.col("least").alias("a"), F.col("rid").alias("b")))
     labelled, mixed = labelled_by(edges)
-    for again in range(2):
-        part = written(labelled.join(mixed, "h"))
-        lead = part.groupBy("h").agg(F.min(F.struct(F.xxhash64("rid", F.lit(again)).alias("x"), "rid", "label")).alias("lead"))
-        pairs = part.join(lead, "h").where("label <> lead.label").select(F.least("rid", "lead.rid").alias("a"), F.greatest("rid", "lead.rid").alias("b"))
-        edges = written(edges.union(star(pairs)))
+    for again in range(ROUNDS):
+        # leaders bring their sketches to their bucket's rows, so that only pairs that may be similar become rows
+        part = written(labelled.join(mixed, "h").select("h", "rid", "label").join(signed.select("rid", "total", "again", "parity"), "rid"))
+        leads = [F.min(F.struct(F.xxhash64("rid", F.lit(again * LEADERS + i)).alias("x"), "rid", "label", "total", "again", "parity")) for i in range(LEADERS)]
+        lead = part.groupBy("h").agg(F.array(*leads).alias("leads"))
+        one = part.join(lead, "h").select("rid", F.explode(F.filter("leads", may_link)).alias("lead"))
+        near = written(one.select(F.col("lead.rid").alias("a"), F.col("rid").alias("b")).distinct())
+        new = written(links(near))
+        edges, old = written(edges.union(new)), edges
+        free(part, near, new, old, *spent)
         labelled, mixed = labelled_by(edges)
-    rest = written(labelled.join(mixed, "h"))
-    x = rest.select("h", F.col("rid").alias("a"), F.col("label").alias("la"), "least").join(sketches("a"), "a")
-    y = rest.select(F.col("h").alias("h2"), F.col("rid").alias("b"), F.col("label").alias("lb")).join(sketches("b"), "b")
+    rest = stored = written(labelled.join(mixed, "h"))
+    free(banded, *spent)
+    # with the buckets of the few bands before: a pair that shares one of those too is met there
+    rest = rest.join(signed.select("rid", buckets.alias("all")), "rid")
+    rest = rest.select("h", "rid", "label", "least", *(F.get("all", F.col("band") - k).alias(f"h{k}") for k in range(1, EARLIER + 1)))
+    x = rest.select("h", F.col("rid").alias("a"), F.col("label").alias("la"), "least", *(F.coalesce(f"h{k}", F.lit(0)).alias(f"ha{k}") for k in range(1, EARLIER + 1))).join(sketches("a"), "a")
+    y = rest.select(F.col("h").alias("h2"), F.col("rid").alias("b"), F.col("label").alias("lb"), *(F.coalesce(f"h{k}", F.lit(1)).alias(f"hb{k}") for k in range(1, EARLIER + 1))).join(sketches("b"), "b")
     # the first stars' pairs are known; others across classes of a bucket are compared
-    other = (x["h"] == y["h2"]) & (F.col("la") < F.col("lb")) & (F.col("a") != F.col("least")) & (F.col("b") != F.col("least")) & plausible()
-    more = x.join(y, other).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = edges.union(written(links(written(more))))
-    label = components(edges)
-    rep_class = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rid", F.coalesce("label", "rep").alias("c"))
-    rows_ = docs.join(rep_class, "rid", "left").withColumn("c", F.coalesce("c", "rid"))
-    ids = rows_.groupBy("c").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("class_size"))
-    ids = ids.select("c", F.col("first.rid").alias("class_rid"), F.col("first.doc_id").alias("class_id"), "class_size")
-    return rows_.join(ids, "c").drop("c")
+    known = reduce(lambda p, q: p | q, (F.col(f"ha{k}") == F.col(f"hb{k}") for k in range(1, EARLIER + 1)))
+    other = (x["h"] == y["h2"]) & (F.col("la") < F.col("lb")) & (F.col("a") != F.col("least")) & (F.col("b") != F.col("least")) & plausible() & ~known
+    more = written(x.join(y, other).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    free(stored, signed)
+    last = written(links(more))
+    label = components(edges.union(last))
+    free(more, last, edges)
+    # classes of more than one row are written: the two joins are then by shuffles that hold nothing else, so Spark can split a huge class
+    found = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rid", "rep", F.coalesce("label", "rep").alias("c"))
+    several = found.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c")
+    rep_class = written(found.join(several, "c").select("rid", "c"))
+    ids = docs.select("rid", "doc_id").join(rep_class, "rid").groupBy("c").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("class_size"))
+    ids = written(ids.select("c", F.col("first.rid").alias("class_rid"), F.col("first.doc_id").alias("class_id"), "class_size"))
+    classed = written(rep_class.join(ids, "c").drop("c"))
+    free(member, label, rep_class, ids)
+    out = docs.join(classed, "rid", "left")
+    alone = F.col("class_rid").isNull()
+    return out.withColumns({"class_id": F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")), "class_size": F.coalesce("class_size", F.lit(1).cast("long")), "class_rid": F.coalesce("class_rid", "rid")})
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
