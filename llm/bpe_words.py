@@ -21,9 +21,11 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import base, documents, fix_split, pieces
 
@@ -131,47 +133,53 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return rows.drop("ids").join(texts, "row_", "left").drop("row_").withColumn("decoded", F.coalesce("decoded", F.lit("")))
 
 
-def encode(docs: DataFrame, path: str, text_out: bool = True) -> DataFrame:
-    """rid, doc_id, ids (array), and the decoded text of each row of ``docs`` (from :func:`llm.common.base`).
+def encode(docs: DataFrame, path: str, ids: bool = True, text: bool = True, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """rid, doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of ``docs`` (from :func:`llm.common.base`); with ``ids`` and ``text`` also the array ``ids`` and the text ``decoded``.
 
     As the tokenizers library gives them, without added special tokens;
-    decoding keeps special tokens. Empty texts: no ids, an empty text.
-    ``text_out`` False gives sums instead, made without holding the arrays in
-    Spark: n_tokens, ids_sha256, decoded_sha256.
+    decoding keeps special tokens. Empty texts: no ids, an empty text. Equal
+    rows each get a row. Of the other columns of ``docs`` those in ``carry``
+    come along (``text`` squeezed), the others are left out. A very long
+    text is a block of its own; a smaller ``block`` takes less memory and
+    shuffles more words.
     """
     spark = docs.sparkSession
     spec, specials, listed = load(path)
     sent = spark.sparkContext.broadcast((hash(spec), spec))  # the vocabulary: bounded
     vocabulary = spark.sparkContext.broadcast(listed)
-    names = list(specials)
+    names, size = list(specials), block
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[str], list[tuple]]]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[str], list[tuple], pa.RecordBatch]]:
         splitter = Splitter(names)
-        for batch in pieces(batches, BLOCK):
+        for batch in pieces(batches, size):
             local = Numbers()
             runs, rows = Runs(splitter, local), []
             for rid, doc_id, text in zip(batch.column("rid").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 rows.append((rid, doc_id, np.array(list(chain.from_iterable(map(runs.__getitem__, RUN.findall(text)))), np.uint32)))
             if rows:
-                yield rows[0][0], list(local), rows
+                yield rows[0][0], list(local), rows, batch
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, local, _ in blocks(batches):
+        for block, local, _, _ in blocks(batches):
             for at in range(0, len(local), BATCH):
                 w = local[at : at + BATCH]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), block, np.int64)), pa.array(np.arange(at, at + len(w), dtype=np.int32)), pa.array(w, pa.string())], ["block", "i", "word"])
 
+    def brought(part: pa.RecordBatch) -> list[pa.Array]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        return [pa.array([squeeze(x.encode("utf-8")) for x in part.column(c).to_pylist()], pa.binary()) if c == "text" else part.column(c) for c in carry]
+
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        for block, local, rows in blocks(batches):
+        for block, local, rows, batch in blocks(batches):
             kind = np.uint16 if len(local) < 1 << 16 else np.uint32
             for at in range(0, len(rows), 500):
                 part = rows[at : at + 500]
                 # the low bytes of all codes, then the next ones: equal high bytes stand together
                 packed = [squeeze(c.astype(kind).view(np.uint8).reshape(-1, kind().nbytes).T.tobytes()) for _, _, c in part]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(part), pa.int64()), pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([len(r[2]) for r in part], pa.int32()), pa.array(packed, pa.binary())],
-                    ["block", "rid", "doc_id", "n", "codes"],
+                    [pa.array([block] * len(part), pa.int64()), pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([len(r[2]) for r in part], pa.int32()), pa.array(packed, pa.binary()), *brought(batch.slice(at, len(part)))],
+                    ["block", "rid", "doc_id", "n", "codes", *(f"c_{c}" for c in carry)],
                 )
 
     wide = np.dtype("<u2") if len(listed) <= 1 << 16 else np.dtype("<u4")
@@ -189,45 +197,71 @@ def encode(docs: DataFrame, path: str, text_out: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("i"), pa.array(own, pa.binary()).take(found.indices)], ["block", "i", "ids"])
 
     fix_split(spark)  # both scans must cut the same blocks
-    used = docs.select("rid", "doc_id", "text")
+    others = [c for c in carry if c != "text"]
+    used = docs.select("rid", "doc_id", "text", *others)
+    carried = "".join(f", `c_{c}` " + ("binary" if c == "text" else docs.schema[c].dataType.simpleString()) for c in carry)
     listed_words = used.mapInArrow(words, "block long, i int, word string")
     dealt = listed_words.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word").sortWithinPartitions("word")
     back = dealt.mapInArrow(word_ids, "block long, i int, ids binary")
-    coded = used.mapInArrow(codes, "block long, rid long, doc_id long, n int, codes binary")
+    coded = used.mapInArrow(codes, "block long, rid long, doc_id long, n int, codes binary" + carried)
+
+    fields = [("rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    out_schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * ids + [("decoded", pa.string())] * text)
+    own_width = len(out_schema)
+    for c in carry:
+        out_schema = out_schema.append(pa.field(c, to_arrow_type(docs.schema[c].dataType)))
+    ddl = "rid long, doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * text + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        """A block's rows from its words' ids and its texts' word numbers. Numbers stay in flat arrays; a few hundred rows at a time become texts."""
         piece = vocabulary.value
-        order = np.argsort(left.column("i").to_numpy())
-        ids = [np.frombuffer(x, wide).tolist() for x in left.column("ids").take(pa.array(order)).to_pylist()]
-        piece_text = [" ".join([piece[t] for t in x]) for x in ids]  # the join of ids to pieces
-        id_text = [] if text_out else [" ".join(map(str, x)) for x in ids]
-        n_ids = np.array([len(x) for x in ids], np.int64)
-        open_up, rows = zstandard.ZstdDecompressor().decompress, []
-        for rid, doc_id, n, packed in zip(*(right.column(c).to_pylist() for c in ("rid", "doc_id", "n", "codes")), strict=True):
-            packed = open_up(packed) if n else b""
-            width = len(packed) // n if n else 1
-            code = np.zeros(n, np.int64)
-            for k in range(width if n else 0):
-                code |= np.frombuffer(packed, np.uint8, n, k * n).astype(np.int64) << (8 * k)
-            at = code.tolist()
-            text = " ".join([piece_text[c] for c in at])
-            if text_out:
-                rows.append((rid, doc_id, [t for c in at for t in ids[c]], text))
-            else:
-                joined = " ".join([id_text[c] for c in at])
-                rows.append((rid, doc_id, int(n_ids[code].sum()), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(text.encode("utf-8")).hexdigest()))
-        return pa.table([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(out_schema)], schema=out_schema)
-
-    if text_out:
-        out_schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
-        ddl = "rid long, doc_id long, ids array<int>, decoded string"
-    else:
-        out_schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-        ddl = "rid long, doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        order = pa.array(np.argsort(left.column("i").to_numpy()))
+        coded_words = left.column("ids").combine_chunks().take(order)
+        length = pc.binary_length(coded_words).to_numpy() // wide.itemsize
+        flat = np.frombuffer(b"".join(coded_words.to_pylist()), wide)
+        start = np.cumsum(length) - length
+        del left, coded_words
+        listed_ids = flat.tolist()
+        bounds = list(zip(start.tolist(), (start + length).tolist(), strict=True))
+        piece_text = [" ".join(map(piece.__getitem__, listed_ids[x:y])) for x, y in bounds]  # the join of ids to pieces
+        id_text = [" ".join(map(str, listed_ids[x:y])) for x, y in bounds]
+        del listed_ids, bounds
+        open_up, done = zstandard.ZstdDecompressor().decompress, []
+        for part in right.to_batches(max_chunksize=500):
+            columns: list[list] = [[] for _ in range(own_width)]
+            codes_of = []
+            for rid, doc_id, n, packed in zip(*(part.column(c).to_pylist() for c in ("rid", "doc_id", "n", "codes")), strict=True):
+                packed = open_up(packed) if n else b""
+                code = np.zeros(n, np.int64)
+                for k in range(len(packed) // n if n else 0):
+                    code |= np.frombuffer(packed, np.uint8, n, k * n).astype(np.int64) << (8 * k)
+                at = code.tolist()
+                whole = " ".join(map(piece_text.__getitem__, at))
+                joined = " ".join(map(id_text.__getitem__, at))
+                row = (rid, doc_id, int(length[code].sum()), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(whole.encode("utf-8")).hexdigest())
+                for values, x in zip(columns, row, strict=False):
+                    values.append(x)
+                codes_of.append(code)
+                if text:
+                    columns[-1].append(whole)
+            arrays = [pa.array(values, f.type) for values, f in zip(columns, out_schema, strict=False)]
+            if ids:
+                code = np.concatenate(codes_of)
+                n, first = length[code], start[code]
+                ends = np.cumsum(n)
+                token = np.arange(int(n.sum())) - np.repeat(ends - n, n) + np.repeat(first, n)
+                offsets = np.concatenate(([0], np.cumsum(columns[2]))).astype(np.int32)
+                arrays[5] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[token].astype(np.int32)))
+            for c in carry:
+                came = part.column(f"c_{c}")
+                arrays.append(pa.array([open_up(x).decode("utf-8") for x in came.to_pylist()], pa.string()) if c == "text" else came.cast(out_schema.field(c).type))
+            done.append(pa.RecordBatch.from_arrays(arrays, schema=out_schema))
+        return pa.Table.from_batches(done, out_schema)
+
     return back.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(assemble, ddl)
 
 
 def op3_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode(base(documents(spark, sf_dir)), public_tokenizers.path("word_bpe_49k.json"), text_out=False).drop("rid")
+    return encode(base(documents(spark, sf_dir)), public_tokenizers.path("word_bpe_49k.json"), ids=False, text=False).drop("rid")
