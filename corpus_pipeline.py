@@ -32,7 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of lines go, and documents whose every word was in such lines."""
-    out = line_dedup(_rows(docs), least=1)
+    out = line_dedup(_rows(docs))
     emptied = (F.size("removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return out.where(~emptied).withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
@@ -56,8 +56,8 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     rows = _rows(docs)
-    coded = encode(rows, public_tokenizers.path("word_bpe_49k.json")).select("rid", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
-    return rows.join(coded, "rid").select(*COLUMNS, F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
+    coded = encode(rows, public_tokenizers.path("word_bpe_49k.json"), text=False, block=8 << 20, carry=COLUMNS[1:])
+    return coded.select(*COLUMNS, "n_tokens", "ids", "decoded_sha256")
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", lines), ("near dedup", near_dedup), ("mixing", mixing), ("bpe", bpe)]
