@@ -82,19 +82,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Shuffle files go when a write ends; the driver keeps no long descriptions of plans that hold a literal array.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "65536"}
 
 
 def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """df as a table in the shared folder: lineage is cut, lost executors lose nothing. The write's shuffle files go when it ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/t{uuid.uuid4().hex}"
-    before = spark.conf.get(FREE_SHUFFLES, "false")
-    spark.conf.set(FREE_SHUFFLES, "true")
+    before = {k: spark.conf.get(k, None) for k in WHILE_WRITING}
     try:
+        for k, v in WHILE_WRITING.items():
+            spark.conf.set(k, v)
         df.write.option("compression", compression).parquet(path)
     finally:
-        spark.conf.set(FREE_SHUFFLES, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import base, bitmap_of, documents, fixed_array, free, written
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 16
 LANES = 2  # longs of a parity sketch
 MOST_N, MOST_P = (1 << 20) - 1, (1 << 11) - 1
 
@@ -105,7 +105,7 @@ def decisions(docs: DataFrame, threshold: float = 0.8, least: int = 1) -> DataFr
         """Identities of the later sets of the pairs that match: ends has them and the places pa and pb of both sets' first lines."""
         ends = written(ends)
         wanted = ends.select(F.explode(F.array("pa", "pb")).alias("x")).select("x.rid", "x.pos").distinct()
-        few = _lines(docs.where(bitmap_of(wanted, "rid"))).where(bitmap_of(wanted, "rid", "pos"))
+        few = _lines(docs).where(bitmap_of(wanted, "rid", "pos"))
         tokens = few.join(wanted, ["rid", "pos"]).select("rid", "pos", F.array_distinct(words_in(F.col("line"))).alias("t"))
         a = tokens.select(F.col("rid").alias("ra"), F.col("pos").alias("qa"), F.col("t").alias("ta"))
         b = tokens.select(F.col("rid").alias("rb"), F.col("pos").alias("qb"), F.col("t").alias("tb"))
@@ -121,9 +121,7 @@ def decisions(docs: DataFrame, threshold: float = 0.8, least: int = 1) -> DataFr
     # families: each set with the earliest one of those that have the same least or greatest hash
     joining = sets.where(F.size("prefix") > 0)
     ends = joining.select("k1", "k2", "place", "n", *lanes, F.posexplode(F.array("lo", "hi")).alias("which", "h"))
-    several = ends.groupBy("which", "h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    ends = ends.where(bitmap_of(several, "which", "h"))
-    lead = ends.groupBy("which", "h").agg(F.min(F.struct("place", "n", *lanes)).alias("lead"))
+    lead = ends.groupBy("which", "h").agg(F.min(F.struct("place", "n", *lanes)).alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     near = ends.join(lead, ["which", "h"])
     zero = F.lit(0)
     near = near.where((F.col("place") != F.col("lead.place")) & may_match(F.col("n"), zero, F.col("lead.n"), zero, cols(""), cols("lead.")))
