@@ -20,7 +20,10 @@ def main(argv: list[str] | None = None) -> int:
     kg = KnowledgeGraph.from_config(spark, a.config)
     if a.query:
         with open(a.query, encoding="utf-8") as f:
-            kg.sparql(f.read()).show(1000, False)
+            answer = kg.sparql(f.read())
+        print("\t".join(answer.columns))
+        for row in answer.toLocalIterator():  # a partition at a time
+            print("\t".join("" if x is None else str(x) for x in row))
     elif kg.config.kafka_server:
         from .sinks import to_kafka
 

@@ -157,9 +157,8 @@ class Parser:
                 self.expect(")")
             else:
                 break
-        while self.take("FROM"):
-            self.take("NAMED")
-            self.iri()
+        if self.take("FROM"):
+            raise QueryError("dataset clauses (FROM, FROM NAMED) are not supported")
         self.take("WHERE")
         q.where = self.group()
         self.modifiers(q)

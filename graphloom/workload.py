@@ -213,7 +213,11 @@ mapped(
 
 def exported(spark: SparkSession, df: DataFrame, kind: str) -> str:
     """A folder with df in a format; in the shared folder where one is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-")
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        top = tempfile.mkdtemp(prefix="graphloom-")
     path = f"{top.rstrip('/')}/{uuid.uuid4().hex}.{kind}"
     if kind in ("csv", "tsv"):
         df.write.option("header", True).option("sep", "," if kind == "csv" else "\t").option("escape", '"').csv(path)

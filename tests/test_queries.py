@@ -57,6 +57,6 @@ def test_plans(spark):
 
 
 def test_parser_errors():
-    for bad in ("SELECT", "SELECT ?x WHERE { ?x", "SELECT ?x WHERE { ?x ex:p ?y }", "INSERT DATA { <a> <b> <c> }", "SELECT ?x WHERE { ?x <p> ?y } nonsense"):
+    for bad in ("SELECT", "SELECT ?x WHERE { ?x", "SELECT ?x WHERE { ?x ex:p ?y }", "INSERT DATA { <a> <b> <c> }", "SELECT ?x WHERE { ?x <p> ?y } nonsense", "SELECT ?x FROM <g> WHERE { ?x <p> ?y }", "SELECT ?x FROM NAMED <g> { ?x <p> ?y }"):
         with pytest.raises(QueryError):
             Parser(bad).parse()
