@@ -18,6 +18,13 @@ from pyspark.sql import functions as F
 from ..model import Source
 
 
+#: names of a section's options, and of the JDBC reader's: with the first four a table is read by many tasks
+JDBC_OPTIONS = {
+    "db_partition_column": "partitionColumn", "db_lower_bound": "lowerBound", "db_upper_bound": "upperBound", "db_num_partitions": "numPartitions",
+    "db_fetch_size": "fetchsize", "db_driver": "driver", "db_user": "user", "db_password": "password",
+}
+
+
 class SourceError(ValueError):
     """A source that can't be read as asked."""
 
@@ -81,9 +88,15 @@ class Sources:
         from pyspark.sql import types as T
 
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        read = self.spark.read.schema(schema).option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True).option("enforceSchema", True)
+        read = self.spark.read.schema(schema).option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", self.records_span_lines(path)).option("enforceSchema", True)
         return read.csv(path) if names else self.spark.createDataFrame([], "_none string")
 
+    def records_span_lines(self, path: str) -> bool:
+        """A quoted field holds a line break: some line then has an odd number of quotes. Only such files can't be split."""
+        value = F.col("value")
+        odd = (F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))) % 2 == 1
+        return bool(self.spark.read.text(path).where(value.contains('"') & odd).take(1))
+
     def read_tsv(self, source: Source, refs: list[str]) -> DataFrame:
         return self.read_csv(source, refs, "\t")
 
@@ -103,8 +116,24 @@ class Sources:
     def read_query(self, source: Source, refs: list[str]) -> DataFrame:
         """SQL over files and registered views: quoted file names become views, double quotes are identifiers."""
 
+        # literals and quoted names are set aside, so that no rule below reads or changes what is in them
+        kept: list[str] = []
+
+        def aside(m: re.Match) -> str:
+            kept.append(m[0])
+            return f"\x00{len(kept) - 1}\x00"
+
+        def given(n: str) -> str:
+            return kept[int(n)][1:-1]
+
+        def back(m: re.Match) -> str:
+            text = given(m[1])
+            return "`" + text.replace('""', '"').replace("`", "``") + "`" if kept[int(m[1])][0] == '"' else "'" + text.replace("''", "\\'") + "'"
+
         def view(m: re.Match) -> str:
-            path = m[2]
+            path = given(m[2])
+            if not re.search(r"\.(?:csv|tsv|parquet|json|orc)$", path, re.IGNORECASE):
+                return m[0]
             ext = path.rsplit(".", 1)[-1].lower()
             kind = {"csv": "csv", "tsv": "tsv", "parquet": "parquet", "json": "json", "orc": "orc"}[ext]
             name = "file_" + re.sub(r"\W", "_", path)
@@ -113,20 +142,22 @@ class Sources:
             return f"{m[1]}`{name}`"
 
         def reader(m: re.Match) -> str:
-            options = dict(re.findall(r"(\w+)\s*=\s*'([^']*)'", m[2]))
-            name = "file_" + re.sub(r"\W", "_", m[1])
-            self.read_csv(Source("csv", m[1]), [], options.get("delim") or options.get("sep") or ",").createOrReplaceTempView(name)
+            options = {k: given(n) for k, n in re.findall(r"(\w+)\s*=\s*\x00(\d+)\x00", m[2])}
+            name = "file_" + re.sub(r"\W", "_", given(m[1]))
+            self.read_csv(Source("csv", given(m[1])), [], options.get("delim") or options.get("sep") or ",").createOrReplaceTempView(name)
             return f"`{name}`"
 
-        text = re.sub(r"\bread_csv(?:_auto)?\(\s*'([^']+)'([^)]*)\)", reader, source.query, flags=re.IGNORECASE)
+        text = re.sub(r"""'(?:[^']|'')*'|"(?:[^"]|"")*\"""", aside, source.query)
+        text = re.sub(r"\bread_csv(?:_auto)?\(\s*\x00(\d+)\x00([^)]*)\)", reader, text, flags=re.IGNORECASE)
         # forms of the usual file-query dialect that Spark spells otherwise
         text = re.sub(r"\bjson_extract_string\s*\(", "get_json_object(", text, flags=re.IGNORECASE)
         text = re.sub(r"\bunnest\s*\(", "explode(", text, flags=re.IGNORECASE)
         listed = r"""transform(split(regexp_replace(\1, '^\\\\s*[\\\\[]|[\\\\]]\\\\s*$', ''), '\\\\s*,\\\\s*'), x -> regexp_replace(x, '^[\\\\x22\\\\x27]|[\\\\x22\\\\x27]$', ''))"""
         text = re.sub(r"((?:\w+\([^()]*\))|\w+)::(?:VARCHAR|TEXT)\[\]", listed, text, flags=re.IGNORECASE)
-        text = re.sub(r"""(\b(?:from|join)\s+|,\s*)['"]([^'"]+\.(?:csv|tsv|parquet|json|orc))['"]""", view, text, flags=re.IGNORECASE)
-        text = re.sub(r'"([^"]*)"', lambda m: "`" + m[1] + "`", text)
-        return self.spark.sql(text)
+        before = ""
+        while before != text:  # one file of a list of files at a time
+            before, text = text, re.sub(r"(\b(?:from|join)\s+|\bfrom\b[^()]*?,\s*)\x00(\d+)\x00", view, text, flags=re.IGNORECASE)
+        return self.spark.sql(re.sub(r"\x00(\d+)\x00", back, text))
 
     def read_table(self, source: Source, refs: list[str]) -> DataFrame:
         options = self.sections.get(source.section, {})
@@ -139,7 +170,9 @@ class Sources:
             return self.spark.read.format("graphloom_sqlite").option("path", re.sub(r"^sqlite:/*(?=/)|^sqlite:///?", "", url)).option("query", query).load()
         if url:
             jdbc = url if url.startswith("jdbc:") else "jdbc:" + re.sub(r"^(\w+)\+\w+:", r"\1:", os.path.expandvars(url))
-            read = self.spark.read.format("jdbc").option("url", jdbc)
+            read = self.spark.read.format("jdbc").option("url", jdbc).options(**{new: options[old] for old, new in JDBC_OPTIONS.items() if old in options})
+            if source.query and "db_partition_column" in options:  # Spark splits a table by its column, not a query
+                return read.option("dbtable", f"({source.query}) graphloom_view").load()
             return (read.option("query", source.query) if source.query else read.option("dbtable", source.location)).load()
         return self.read_query(source, refs) if source.query else self.spark.table(source.location)
 
