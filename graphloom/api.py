@@ -15,14 +15,14 @@ from .operators.materialize import Engine
 from .sources import Sources
 
 
-def read_mapping(text: str, name: str = "", section: str = "", override: str = "", db: bool = False) -> list[Rule]:
+def read_mapping(text: str, name: str = "", section: str = "", override: str = "", db: bool = False, safe: str = "") -> list[Rule]:
     """Rules of one mapping document; ``name`` tells YARRRML by its extension."""
     if name.lower().endswith((".yarrrml", ".yml", ".yaml")):
         from .frontend.yarrrml import translate
 
         text = translate(text)
     triples, base = turtle.parse(text)
-    return mapping.without_self_joins(mapping.Builder(triples, base, section, override, db).rules())
+    return mapping.without_self_joins(mapping.Builder(triples, base, section, override, db, safe).rules())
 
 
 def mapping_files(paths: str, root: str = "") -> list[str]:
@@ -54,7 +54,7 @@ class KnowledgeGraph:
         for name, options in c.sections.items():
             for path in mapping_files(options["mappings"], root):
                 with open(path, encoding="utf-8") as f:
-                    found = read_mapping(f.read(), path, name, options.get("file_path", ""), "db_url" in options)
+                    found = read_mapping(f.read(), path, name, options.get("file_path", ""), "db_url" in options, c.options.safe)
                 for r in {r.name for r in found}:
                     if seen.setdefault(r, name) != name:
                         raise MappingError(f"triples map {r} is in two sections")
@@ -69,7 +69,7 @@ class KnowledgeGraph:
         from .terms import Options
 
         keys = options.pop("keys", {})
-        rules = read_mapping(text, "m.yml" if yarrrml else "m.ttl")
+        rules = read_mapping(text, "m.yml" if yarrrml else "m.ttl", safe=options.get("safe", ""))
         return cls(spark, rules, Engine(Sources(spark, dict(memory or {}), {}, root), Options(**options), keys), keys=keys)
 
     def quads(self) -> DataFrame:

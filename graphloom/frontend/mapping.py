@@ -107,9 +107,25 @@ def _plain(reference: str) -> str:
     return reference[1:-1] if len(reference) > 1 and reference[0] == reference[-1] == '"' else reference
 
 
+#: how an absolute IRI begins
+SCHEME = r"[A-Za-z][A-Za-z0-9+.-]*:"
+
+
+def resolved(template: str, base: str, safe: str = "") -> str:
+    """An IRI template with the base before it where no row can make it absolute by itself; else as it is."""
+    parts = template_parts(template)
+    start = parts[0][1] if parts and not parts[0][0] else ""
+    if not re.match(SCHEME, base) or re.match(SCHEME, start):
+        return template
+    texts = [text for is_ref, text in parts if not is_ref]
+    if re.match(r"[A-Za-z0-9+.-]*[^A-Za-z0-9+.:-]", start) or not any(":" in t for t in (*texts, safe)):
+        return re.sub(r"([\\{}])", r"\\\1", base) + template
+    return template
+
+
 class Builder:
-    def __init__(self, triples: list[tuple[Node, Node, Node]], base: str = "", section: str = "", override: str = "", db: bool = False) -> None:
-        self.g, self.base, self.section, self.override, self.db = Graph(triples), base, section, override, db
+    def __init__(self, triples: list[tuple[Node, Node, Node]], base: str = "", section: str = "", override: str = "", db: bool = False, safe: str = "") -> None:
+        self.g, self.base, self.section, self.override, self.db, self.safe = Graph(triples), base, section, override, db, safe
         self.building: set[Node] = set()
 
     def rules(self) -> list[Rule]:
@@ -199,7 +215,7 @@ class Builder:
             term = "iri"
         if kind == "template":
             template_parts(str(value))
-            made = TermMap("template", str(value), term, datatype, lang)
+            made = TermMap("template", resolved(str(value), self.base, self.safe) if term == "iri" else str(value), term, datatype, lang)
         elif kind == "reference":
             made = TermMap("reference", _plain(str(value)), term, datatype, lang)
         else:

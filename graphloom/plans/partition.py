@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from itertools import pairwise
 
-from ..frontend.mapping import template_parts
+from ..frontend.mapping import SCHEME, template_parts
 from ..model import Rule, TermMap
 
 
@@ -17,6 +18,8 @@ def invariant(t: TermMap | None) -> tuple[str, str, bool]:
     if t.kind == "template":
         parts = template_parts(str(t.value))
         start = parts[0][1] if parts and not parts[0][0] else ""
+        if t.term == "iri" and not re.match(SCHEME, start):  # the base comes first, or does not, row by row
+            return t.term, "", False
         return t.term, start, len(parts) == 1 and bool(start)
     if t.kind == "parent":
         return invariant(t.value.subject)
@@ -63,6 +66,8 @@ def invertible(t: TermMap, options_safe: str = "") -> bool:
     if t.kind != "template" or t.term != "iri" or options_safe:
         return False
     parts = template_parts(str(t.value))
+    if not parts or parts[0][0] or not re.match(SCHEME, parts[0][1]):
+        return False
     unreserved = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~%")
     for a, b in pairwise(parts):
         if a[0] and b[0]:

@@ -25,7 +25,7 @@ from ..operators.materialize import Engine
 from ..plans.fixpoint import closure
 from ..plans.partition import apart, invariant, invertible
 from ..terms import TERM, escape, node_text, references
-from .expressions import Expressions, V, constant
+from .expressions import EXACT, Expressions, V, constant, operands
 from .parser import Parser, Query, QueryError, Var, variables
 
 
@@ -172,18 +172,23 @@ class Evaluator:
             if kind in ("SUM", "AVG"):
                 num, rank = v.num(), v.ranked()
                 bad = F.count_if(t.isNotNull() & num.isNull())
-                if distinct:
-                    numbers = F.collect_set(num)
-                    total = F.aggregate(numbers, F.lit(0.0), lambda s, y: s + y)
-                    value = total if kind == "SUM" else F.coalesce(F.try_divide(total, F.size(numbers)), F.lit(0.0))
+                exact = v.exact()
+                if distinct:  # there is no distinct try_sum: values that could overflow before a million of them are summed as doubles
+                    exact = F.when(F.abs(exact) < F.lit(10**18), exact)
+                    total, n, fine = F.sum_distinct(num), F.count_distinct(num), F.sum_distinct(exact)
                 else:
-                    value = F.coalesce(F.sum(num) if kind == "SUM" else F.avg(num), F.lit(0.0))
+                    total, n, fine = F.sum(num), F.count(num), F.try_sum(exact)
+                rough = F.count_if(num.isNotNull() & exact.isNull()) > 0
+                fine = F.when(~rough, F.coalesce(fine.try_cast(EXACT), F.when(n == 0, F.lit(0).cast(EXACT))))
+                if kind == "AVG":
+                    total, fine = F.try_divide(F.coalesce(fine.cast("double"), total), n), F.lit(None).cast(EXACT)
+                value = F.coalesce(total, F.lit(0.0))
                 top = F.coalesce(F.max(F.when(t.isNotNull(), rank)), F.lit(0))
-                made.append(F.struct(F.when(bad == 0, value).alias("x"), (F.greatest(top, F.lit(1)) if kind == "AVG" else top).alias("r")).alias(name))
-                after.append((name, V("num", F.col(name)["x"], F.col(name)["r"]).term()))
+                made.append(F.struct(F.when(bad == 0, value).alias("x"), F.when(bad == 0, fine).alias("e"), (F.greatest(top, F.lit(1)) if kind == "AVG" else top).alias("r")).alias(name))
+                after.append((name, V("num", F.col(name)["x"], F.col(name)["r"], F.col(name)["e"]).term()))
             elif kind in ("MIN", "MAX"):
                 rank = F.when(t["t"] == "B", 0).when(t["t"] == "I", 1).otherwise(2)
-                key = F.when(t.isNotNull(), F.struct(rank.alias("r"), v.num().alias("n"), t.alias("t")))
+                key = F.when(t.isNotNull(), F.struct(rank.alias("r"), v.num().alias("n"), v.exact().alias("e"), v.instant().alias("i"), t.alias("t")))
                 made.append((F.min if kind == "MIN" else F.max)(key).alias(name))
                 after.append((name, F.col(name)["t"]))
             elif kind == "SAMPLE":
@@ -209,7 +214,7 @@ class Evaluator:
             v = x.of(e)
             t = v.term()
             rank = F.when(t.isNull(), 0).when(t["t"] == "B", 1).when(t["t"] == "I", 2).otherwise(3)
-            for k in (rank, v.num(), t["v"]):
+            for k in (rank, v.num(), v.exact(), v.instant(), t["v"]):
                 keys.append(k.desc_nulls_last() if down else k.asc_nulls_first())
         return Frame(f.df.orderBy(*keys), f.vars, f.maybe, f.keys)
 
@@ -225,7 +230,20 @@ class Evaluator:
             return f
         if name in f.vars:
             raise QueryError(f"?{name} is bound already")
-        return Frame(f.df.withColumn(f"v_{name}", self.expressions(f).of(e).term()), [*f.vars, name], f.maybe | {name}, f.keys)
+        # numbers are read often, by operators and by their texts: projections of their own keep the generated code small
+        df, i, x = f.df, next(self.n), self.expressions(f)
+        found = sorted(operands(e) & set(f.vars))
+        made = {v: x.of(("var", v)) for v in found}
+        df = df.withColumns({f"{k}{i}_{j}": c for j, v in enumerate(found) for k, c in (("n", made[v].num()), ("e", made[v].exact()), ("r", made[v].ranked()))})
+        x.numbers = {v: V("num", F.col(f"n{i}_{j}"), F.col(f"r{i}_{j}"), F.col(f"e{i}_{j}")) for j, v in enumerate(found)}
+        v = x.of(e)
+        if v.kind == "num":
+            df = df.withColumns({f"n{i}": v.col, f"e{i}": v.exact(), f"r{i}": v.rank})
+            df = df.withColumn(f"v_{name}", V("num", F.col(f"n{i}"), F.col(f"r{i}"), F.col(f"e{i}")).term())
+        else:
+            df = df.withColumn(f"v_{name}", v.term())
+        df = df.drop(*(f"{k}{i}{end}" for k in "ner" for end in ("", *(f"_{j}" for j in range(len(found))))))
+        return Frame(df, [*f.vars, name], f.maybe | {name}, f.keys)
 
     # -- algebra
 
@@ -281,7 +299,37 @@ class Evaluator:
             return self.filter(joined, a[1], graph)
         return self.pattern(a, graph)
 
+    def loose(self, f: Frame, g: Frame) -> str | None:
+        """A shared variable that may be unbound, where no shared one is sure to be bound: the join would have no key."""
+        shared = [v for v in f.vars if v in g.vars]
+        return shared[0] if shared and all(v in f.maybe | g.maybe for v in shared) else None
+
+    def split(self, f: Frame, v: str) -> list[Frame]:
+        """The solutions that bind v, and those that don't, without it."""
+        if v not in f.maybe:
+            return [f]
+        bound = Frame(f.df.where(col(v).isNotNull()), f.vars, f.maybe - {v}, f.keys)
+        rest = [x for x in f.vars if x != v]
+        keys = {x: k for x, k in f.keys.items() if x != v}
+        raw = list(dict.fromkeys(c for _, cols in keys.values() for c in cols))
+        free = f.df.where(col(v).isNull()).select(*(col(x) for x in rest), *(F.col(f"`{c}`") for c in raw), F.lit(1).alias("_one"))
+        return [bound, Frame(free, rest, f.maybe - {v}, keys)]
+
+    def together(self, parts: list[Frame], names: list[str]) -> Frame:
+        df = reduce(DataFrame.unionByName, (p.df.select(*(col(v) if v in p.vars else F.lit(None).cast(TERM).alias(f"v_{v}") for v in names), F.lit(1).alias("_unit")) for p in parts))
+        return Frame(df, names, {v for v in names if any(v in p.maybe or v not in p.vars for p in parts)})
+
     def semi(self, f: Frame, g: Frame, keep: bool) -> Frame:
+        if v := self.loose(f, g):
+            parts = []
+            for x in self.split(f, v):
+                sides = self.split(g, v) if v in x.vars else [Frame(g.df, [n for n in g.vars if n != v], g.maybe - {v}, {n: k for n, k in g.keys.items() if n != v})]
+                for y in sides:  # rows that meet one side are settled
+                    if keep:
+                        parts.append(self.semi(x, y, True))
+                    x = self.semi(x, y, False) if not keep or y is not sides[-1] else x
+                parts += [] if keep else [x]
+            return self.together(parts, f.vars)
         g, names = self.renamed(g)
         condition = self.compatible(f, g, names)
         return Frame(f.df.join(g.df, condition if condition is not None else F.lit(True), "left_semi" if keep else "left_anti"), f.vars, f.maybe, f.keys)
@@ -319,6 +367,14 @@ class Evaluator:
             return g
         if not g.vars and "_unit" in g.df.columns:
             return f
+        if v := self.loose(f, g):
+            names = list(dict.fromkeys(f.vars + g.vars))
+            if how == "inner":
+                return self.together([self.join(x, y, how, more) for x in self.split(f, v) for y in self.split(g, v)], names)
+            if v in f.maybe:
+                return self.together([self.join(x, g, how, more) for x in self.split(f, v)], names)
+            if more is None:
+                return self.together([self.join(f, g), self.semi(f, g, False)], names)
         g, names = self.renamed(g)
         condition = self.compatible(f, g, names)
         shared = [v for v in f.vars if v in names]
@@ -532,6 +588,12 @@ class Evaluator:
 
     # -- property paths
 
+    def other_than(self, s, banned: list[str], o, graph) -> Frame:
+        """Triples under any predicate but these."""
+        pred = Var(f"_m{next(self.n)}")
+        f = self.bgp([(s, pred, o)], graph)
+        return Frame(f.df.where(~col(pred)["v"].isin(*banned)).drop(f"v_{pred}"), [v for v in f.vars if v != pred])
+
     def path(self, s, p, o, graph) -> Frame:
         if not isinstance(p, tuple):
             return self.bgp([(s, p, o)], graph)
@@ -549,10 +611,12 @@ class Evaluator:
             df = reduce(DataFrame.unionByName, (f.df.select(*(col(v) for v in f.vars), F.lit(1).alias("_unit")) for f in parts))
             return Frame(df, parts[0].vars)
         if kind == "not":
-            pred = Var(f"_m{next(self.n)}")
-            f = self.bgp([(s, pred, o)], graph)
-            banned = [str(x) for x in p[1] if not isinstance(x, tuple)]
-            return Frame(f.df.where(~col(pred)["v"].isin(*banned)).drop(f"v_{pred}"), [v for v in f.vars if v != pred])
+            ahead, back = [str(x) for x in p[1] if not isinstance(x, tuple)], [str(x[1]) for x in p[1] if isinstance(x, tuple)]
+            parts = [self.other_than(s, ahead, o, graph)] if ahead or not back else []
+            parts += [self.other_than(o, back, s, graph)] if back else []
+            names = parts[0].vars
+            df = reduce(DataFrame.unionByName, (f.df.select(*(col(v) for v in names), F.lit(1).alias("_unit")) for f in parts))
+            return Frame(df, names)
         a, b = Var(f"_m{next(self.n)}"), Var(f"_m{next(self.n)}")
         f = self.path(a, p[1], b, graph)
         edges = f.df.select(col(a).alias("a"), col(b).alias("b")).distinct()

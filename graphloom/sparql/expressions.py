@@ -1,4 +1,9 @@
-"""SPARQL expressions as Columns over term structs (t, v, d, l); errors are nulls."""
+"""SPARQL expressions as Columns over term structs (t, v, d, l); errors are nulls.
+
+Numbers have two columns: a double, and for integers and decimals an exact
+value too, which is null for other types and beyond 23 whole or 14 fraction
+digits. Results are exact where both operands are.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +20,26 @@ NUMERIC = tuple(XSD + n for n in ("integer", "decimal", "double", "float", "int"
 WHOLE = tuple(XSD + n for n in ("integer", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger", "negativeInteger", "nonPositiveInteger", "unsignedInt", "unsignedLong"))
 
 
+EXACT = "decimal(37,14)"
+INSTANT = (XSD + "dateTime", XSD + "dateTimeStamp")
+
+
+def exactly(v: Column) -> Column:
+    """A lexical form as a decimal, null where that would round."""
+    return F.when(~v.rlike(r"\.\d{14}\d*[1-9]"), v.try_cast(EXACT))
+
+
+def rounded_to(x: Column, kind: str) -> Column:
+    """x in a narrower type, null where that would change it."""
+    narrow = x.try_cast(kind)
+    return F.when(narrow == x, narrow)
+
+
+def product(x: Column, y: Column) -> Column:
+    parts = [F.try_multiply(rounded_to(x, k), rounded_to(y, k)).try_cast(EXACT) for k in ("decimal(18,7)", "decimal(18,0)")]
+    return F.coalesce(*parts)
+
+
 def _null() -> Column:
     return F.lit(None).cast("string")
 
@@ -37,6 +62,7 @@ class V:
     kind: str
     col: Column
     rank: Column | None = None
+    fine: Column | None = None
 
     def term(self) -> Column:
         c = self.col
@@ -45,7 +71,10 @@ class V:
         if self.kind == "bool":
             return make("L", c.cast("string"), F.lit(XSD + "boolean"))
         if self.kind == "num":
-            text = F.when(self.rank == 0, c.cast("long").cast("string")).otherwise(double_text(c))
+            e = self.exact()
+            whole = F.coalesce(e.cast("decimal(38,0)").cast("string"), c.try_cast("long").cast("string"))
+            decimal = F.regexp_replace(e.cast("string"), r"(\.\d+?)0+$", "$1")
+            text = F.coalesce(F.when(self.rank == 0, whole).when(self.rank == 1, decimal), double_text(c))
             d = F.when(self.rank == 0, XSD + "integer").when(self.rank == 1, XSD + "decimal").otherwise(XSD + "double")
             return make("L", text, d)
         return make("I" if self.kind == "iri" else "L", c)
@@ -61,6 +90,20 @@ class V:
             return F.when((self.col["t"] == "L") & self.col["d"].isin(*NUMERIC), self.col["v"].try_cast("double"))
         return F.lit(None).cast("double")
 
+    def exact(self) -> Column:
+        """The value as a decimal, null where it is none or its double is all there is."""
+        if self.kind == "num":
+            return F.lit(None).cast(EXACT) if self.fine is None else self.fine
+        if self.kind == "term":
+            return F.when((self.col["t"] == "L") & self.col["d"].isin(*WHOLE, XSD + "decimal"), exactly(self.col["v"]))
+        return F.lit(None).cast(EXACT)
+
+    def instant(self) -> Column:
+        """A dateTime as a point in time; without a zone it is in the session's."""
+        if self.kind != "term":
+            return F.lit(None).cast("timestamp")
+        return F.when((self.col["t"] == "L") & self.col["d"].isin(*INSTANT), self.col["v"].try_cast("timestamp"))
+
     def ranked(self) -> Column:
         if self.kind == "num":
             return self.rank
@@ -82,23 +125,39 @@ class V:
 def compare(op: str, a: V, b: V) -> Column:
     x, y = a.num(), b.num()
     numbers = x.isNotNull() & y.isNotNull()
+    p, q = a.exact(), b.exact()
+    exact = p.isNotNull() & q.isNotNull()
+    since, until = a.instant(), b.instant()
+    instants = since.isNotNull() & until.isNotNull()
     s, t = a.term(), b.term()
     if op in ("=", "!="):
         known = (s["t"] == "L") & (t["t"] == "L")
         boolean = known & (s["d"] == XSD + "boolean") & (t["d"] == XSD + "boolean")
         truth = lambda q: q["v"].isin("true", "1")
-        same = F.when(numbers, x == y).when(boolean, truth(s) == truth(t)).otherwise(F.when(s.isNotNull() & t.isNotNull(), s.eqNullSafe(t)))
+        same = F.when(exact, p == q).when(numbers, x == y).when(instants, since == until).when(boolean, truth(s) == truth(t)).otherwise(F.when(s.isNotNull() & t.isNotNull(), s.eqNullSafe(t)))
         return same if op == "=" else ~same
     f = {"<": lambda p, q: p < q, ">": lambda p, q: p > q, "<=": lambda p, q: p <= q, ">=": lambda p, q: p >= q}[op]
     alike = (s["t"] == "L") & (t["t"] == "L") & s["d"].eqNullSafe(t["d"])
-    return F.when(numbers, f(x, y)).when(alike & ~F.coalesce(s["d"].isin(*NUMERIC), F.lit(False)), f(s["v"], t["v"]))
+    return F.when(exact, f(p, q)).when(numbers, f(x, y)).when(instants, f(since, until)).when(alike & ~F.coalesce(s["d"].isin(*NUMERIC), F.lit(False)), f(s["v"], t["v"]))
+
+
+def operands(e) -> set[str]:
+    """The variables that are sides of an arithmetic operator."""
+    if not isinstance(e, tuple | list):
+        return set()
+    own = {str(x[1]) for x in e[1:] if isinstance(x, tuple) and x[:1] == ("var",)} if isinstance(e, tuple) and e[:1] and e[0] in ("+", "-", "*", "/", "neg") else set()
+    return own.union(*(operands(x) for x in e))
 
 
 class Expressions:
     """Compiles expressions; ``column`` gives a variable's struct (None if it is never bound)."""
 
-    def __init__(self, column) -> None:
-        self.column = column
+    def __init__(self, column, numbers: dict[str, V] | None = None) -> None:
+        self.column, self.numbers = column, numbers or {}
+
+    def operand(self, e) -> V:
+        """A side of an arithmetic operator; a variable's number may stand in columns already."""
+        return self.numbers.get(str(e[1])) if e[0] == "var" and str(e[1]) in self.numbers else self.of(e)
 
     def of(self, e) -> V:
         kind = e[0]
@@ -119,15 +178,17 @@ class Expressions:
                 out = out | compare("=", a, self.of(x))
             return V("bool", out)
         if kind in ("+", "-", "*", "/"):
-            a, b = self.of(e[1]), self.of(e[2])
+            a, b = self.operand(e[1]), self.operand(e[2])
             x, y = a.num(), b.num()
             rank = F.greatest(a.ranked(), b.ranked())
             if kind == "/":
                 return V("num", F.try_divide(x, y), F.greatest(rank, F.lit(1)))
-            return V("num", {"+": x + y, "-": x - y, "*": x * y}[kind], rank)
+            p, q = a.exact(), b.exact()
+            fine = {"+": F.try_add, "-": F.try_subtract, "*": product}[kind](p, q)
+            return V("num", {"+": x + y, "-": x - y, "*": x * y}[kind], rank, fine.try_cast(EXACT))
         if kind == "neg":
-            a = self.of(e[1])
-            return V("num", -a.num(), a.ranked())
+            a = self.operand(e[1])
+            return V("num", -a.num(), a.ranked(), -a.exact())
         if kind == "cast":
             return self.cast(e[1], self.of(e[2]))
         if kind == "call":
@@ -137,10 +198,13 @@ class Expressions:
     def cast(self, to: str, a: V) -> V:
         name, v = to.removeprefix(XSD), a.text()
         if name == "integer":
-            x = F.floor(v.try_cast("double")).cast("double")
-            return V("num", F.when(v == "true", 1.0).when(v == "false", 0.0).otherwise(x), F.lit(0))
+            x, truth = v.try_cast("double"), F.when(v == "true", 1).when(v == "false", 0)
+            towards = F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))
+            e = exactly(v)
+            fine = F.when(e < 0, F.ceil(e)).otherwise(F.floor(e)).try_cast(EXACT)
+            return V("num", F.coalesce(truth, towards).cast("double"), F.lit(0), F.coalesce(truth.cast(EXACT), fine))
         if name in ("decimal", "double", "float"):
-            return V("num", v.try_cast("double"), F.lit(1 if name == "decimal" else 2))
+            return V("num", v.try_cast("double"), F.lit(1 if name == "decimal" else 2), exactly(v) if name == "decimal" else None)
         if name == "boolean":
             return V("bool", F.when(F.lower(v).isin("true", "1"), True).when(F.lower(v).isin("false", "0"), False))
         if name == "string":
@@ -193,10 +257,10 @@ class Expressions:
             "STRAFTER": lambda: V("term", F.when(F.position(s[1], s[0]) > 0, make("L", F.substring(s[0], F.position(s[1], s[0]) + F.length(s[1]), F.length(s[0])), t["d"], t["l"])).otherwise(make("L", F.lit("")))),
             "ENCODE_FOR_URI": lambda: V("str", percent_encode(s[0])),
             "CONCAT": lambda: V("str", F.concat(*s) if s else F.lit("")),
-            "ABS": lambda: V("num", F.abs(v[0].num()), v[0].ranked()),
-            "ROUND": lambda: V("num", F.floor(v[0].num() + 0.5).cast("double"), v[0].ranked()),
-            "CEIL": lambda: V("num", F.ceil(v[0].num()).cast("double"), v[0].ranked()),
-            "FLOOR": lambda: V("num", F.floor(v[0].num()).cast("double"), v[0].ranked()),
+            "ABS": lambda: V("num", F.abs(v[0].num()), v[0].ranked(), F.abs(v[0].exact())),
+            "ROUND": lambda: V("num", F.floor(v[0].num() + 0.5).cast("double"), v[0].ranked(), F.floor(F.try_add(v[0].exact(), F.lit("0.5").cast(EXACT))).try_cast(EXACT)),
+            "CEIL": lambda: V("num", F.ceil(v[0].num()).cast("double"), v[0].ranked(), F.ceil(v[0].exact()).try_cast(EXACT)),
+            "FLOOR": lambda: V("num", F.floor(v[0].num()).cast("double"), v[0].ranked(), F.floor(v[0].exact()).try_cast(EXACT)),
             "RAND": lambda: V("num", F.rand(), F.lit(2)),
             "NOW": lambda: V("term", make("L", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"), F.lit(XSD + "dateTime"))),
             "MD5": lambda: V("str", F.md5(s[0].cast("binary"))),

@@ -10,10 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frontend.mapping import template_parts
+from .frontend.mapping import SCHEME, template_parts
 from .model import XSD, BNode, Call, IRI, Literal, TermMap
 
-SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 TERM = "struct<t:string,v:string,d:string,l:string>"
 
 
@@ -161,7 +160,7 @@ class TermCompiler:
     def absolute(self, value: Column, start: str) -> Column:
         if not self.base or re.match(SCHEME, start):
             return value
-        return F.when(value.rlike(SCHEME), value).otherwise(F.concat(F.lit(self.base), value))
+        return F.when(value.rlike("^" + SCHEME), value).otherwise(F.concat(F.lit(self.base), value))
 
     def clean(self, x: Column) -> Column:
         return F.regexp_replace(x, r"[\p{C}\p{Zl}\p{Zp}]|[\p{Zs}&&[^ ]]", "") if self.o.printable_only else x
