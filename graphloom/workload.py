@@ -386,3 +386,93 @@ asked("sparql_ask", SHOP, 'ASK { ?c ex:segment "BUILDING" }', "SELECT count(*) >
 asked("sparql_variable_predicate", SHOP, "SELECT ?p (COUNT(*) AS ?n) WHERE { ?s ?p ?o . ?s a ex:Order } GROUP BY ?p", f"SELECT p, {lit('count(*)', 'integer')} AS n FROM (SELECT {p('status')} AS p FROM orders UNION ALL SELECT {p('total')} FROM orders UNION ALL SELECT {p('priority')} FROM orders UNION ALL SELECT {RDF_TYPE} FROM orders UNION ALL SELECT {p('customer')} FROM orders JOIN customer ON o_custkey = c_custkey) GROUP BY p")
 asked("sparql_named_graph", triples_map("N", source("nation"), subject("nation/{n_nationkey}", 'rml:graphMap [ rml:template "http://ex.org/graph/{n_regionkey}" ]'), po("ex:label", ref("n_name"))), "SELECT ?g ?l WHERE { GRAPH ?g { ?n ex:label ?l } }", f"SELECT {iri('graph/{n_regionkey}')} AS g, {lit('n_name')} AS l FROM nation")
 
+
+# -- exact values, bases, literals in views
+
+_big = triples_map("B", view("SELECT o_orderkey, o_orderstatus, 9007199254740992 + o_orderkey AS b FROM <<orders>>"), subject("order/{o_orderkey}"), po("ex:big", ref("b", "xsd:integer")), po("ex:status", ref("o_orderstatus")))
+asked("sparql_exact_sum", _big, "SELECT ?s (SUM(?b) AS ?all) (MAX(?b) AS ?top) WHERE { ?o ex:big ?b ; ex:status ?s } GROUP BY ?s", f"SELECT {lit('o_orderstatus')} AS s, {lit('sum(9007199254740992 + o_orderkey)', 'integer')} AS \"all\", {lit('max(9007199254740992 + o_orderkey)', 'integer')} AS top FROM orders GROUP BY o_orderstatus")
+asked("sparql_exact_filter", _big, "SELECT ?o ?c WHERE { ?o ex:big ?b FILTER(?b = 9007199254740993 || ?b = 9007199254740994) BIND(?b + 1 AS ?c) }", f"SELECT {_o} AS o, {lit('9007199254740993 + o_orderkey', 'integer')} AS c FROM orders WHERE o_orderkey IN (1, 2)")
+_tenths = triples_map("D", view("SELECT n_nationkey, concat('0.', n_nationkey) AS d FROM <<nation>>"), subject("nation/{n_nationkey}"), po("ex:d", ref("d", "xsd:decimal")))
+_tenth = "CAST('0.' || n_nationkey AS DECIMAL(10, 2))"
+
+
+def _decimal(sql: str) -> str:
+    return lit(f"regexp_replace(CAST({sql} AS VARCHAR), '([.][0-9]+?)0+$', '\\1')", "decimal")
+
+
+asked("sparql_decimals", _tenths, "SELECT ?n (?d + 0.2 AS ?e) (?d * 3 AS ?m) WHERE { ?n ex:d ?d FILTER(?d + 0.1 != 0.3) }", f"SELECT {_n} AS n, {_decimal(f'{_tenth} + 0.2')} AS e, {_decimal(f'{_tenth} * 3')} AS m FROM nation WHERE {_tenth} <> 0.2")
+asked("sparql_decimal_sum", _tenths, "SELECT (SUM(?d) AS ?s) (SUM(DISTINCT ?d) AS ?u) WHERE { ?n ex:d ?d }", f"SELECT {_decimal(f'sum({_tenth})')} AS s, {_decimal(f'sum(DISTINCT {_tenth})')} AS u FROM nation")
+asked("sparql_instants", triples_map("T", view("SELECT n_nationkey, concat('2020-01-02T0', n_nationkey % 3, ':00:00', CASE WHEN n_nationkey % 2 = 0 THEN 'Z' ELSE '-05:00' END) AS t FROM <<nation>>"), subject("nation/{n_nationkey}"), po("ex:at", ref("t", "xsd:dateTime"))), 'SELECT ?n WHERE { ?n ex:at ?t FILTER(?t > "2020-01-02T01:00:00Z"^^xsd:dateTime && ?t <= "2020-01-02T06:00:00Z"^^xsd:dateTime) }', f"SELECT {_n} AS n FROM nation WHERE n_nationkey % 3 + 5 * (n_nationkey % 2) > 1 AND n_nationkey % 3 + 5 * (n_nationkey % 2) <= 6")
+_relative = "\n".join((triples_map("R", source("nation"), 'rml:subjectMap [ rml:template "n/{n_nationkey}" ]', po("ex:label", ref("n_name"))), triples_map("A", source("nation"), 'rml:subjectMap [ rml:template "http://ex.org/map/n/{n_nationkey}" ]', po("ex:label", ref("n_name")), po("ex:of", ref("n_regionkey", "xsd:integer")))))
+asked("sparql_relative_base", _relative, "SELECT ?x ?l ?r WHERE { ?x ex:label ?l . ?x ex:of ?r }", f"SELECT {iri('map/n/{n_nationkey}')} AS x, {lit('n_name')} AS l, {lit('n_regionkey', 'integer')} AS r FROM nation")
+mapped("relative_base", _relative, rows((iri("map/n/{n_nationkey}"), p("label"), lit("n_name"), "nation"), (iri("map/n/{n_nationkey}"), p("of"), lit("n_regionkey", "integer"), "nation")))
+asked("sparql_path_not_inverse", SHOP, "SELECT ?x ?y WHERE { ?x !(^ex:nation) ?y . ?x a ex:Region }", f"SELECT {_r} AS x, {_n} AS y FROM nation JOIN region ON n_regionkey = r_regionkey")
+asked("sparql_join_after_optional", SHOP, "SELECT ?n ?m ?r WHERE { ?n a ex:Nation OPTIONAL { ?n ex:region ?r FILTER(?r = <http://ex.org/region/1>) } ?m ex:region ?r }", f"SELECT {iri('nation/{a}')} AS n, {iri('nation/{b}')} AS m, {iri('region/{r}')} AS r FROM (SELECT x.n_nationkey AS a, y.n_nationkey AS b, y.n_regionkey AS r FROM nation x, nation y WHERE x.n_regionkey <> 1 OR y.n_regionkey = 1)")
+mapped("view_literals", triples_map("V", view("SELECT n_nationkey, 'say \"hi\", it''s from ''a.csv''' AS v FROM <<nation>> WHERE n_name <> 'x \"y\"'"), subject("nation/{n_nationkey}"), po("ex:v", ref("v"))), rows((_n, p("v"), lit("'say \"hi\", it''s from ''a.csv'''"), "nation")))
+
+# -- the other functions
+
+
+def rounded(function: str, *inputs: tuple[str, str]) -> str:
+    """The whole degrees of a function's result: its digits, but not the last bits in which libraries differ."""
+    return call("grel:math_round", ("p_dec_n", nested(call("grel:math_degrees", ("p_dec_n", nested(call(f"grel:math_{function}", *inputs)))))))
+
+
+_m = nested(call("grel:math_mod", ("p_int_i", column("p_size")), ("p_int_i2", const("5"))))
+_deg = "CAST(round_even(degrees({}), 0) AS BIGINT)"
+functions("fn_trigonometry", "part", "p_partkey", {
+    f: (rounded(f, ("p_dec_n", column("p_size"))), _deg.format(f"{f}(CAST(p_size AS DOUBLE))")) for f in ("sin", "cos", "tan", "tanh", "atan")
+} | {"atan2": (rounded("atan2", ("p_dec_n", column("p_size")), ("param_n2", const("3"))), _deg.format("atan2(CAST(p_size AS DOUBLE), 3)"))})
+functions("fn_inverses", "part", "p_partkey", {
+    f: (rounded(f, ("p_dec_n", nested(call("grel:math_sin", ("p_dec_n", column("p_size")))))), _deg.format(f"{f}(sin(CAST(p_size AS DOUBLE)))")) for f in ("asin", "acos")
+} | {f: (rounded(f, ("p_dec_n", _m)), _deg.format(f"{f}(CAST(p_size % 5 AS DOUBLE))")) for f in ("sinh", "cosh", "exp", "radians")})
+functions("fn_logarithms", "part", "p_partkey", {
+    "ln": (rounded("ln", ("p_dec_n", column("p_size"))), _deg.format("ln(CAST(p_size AS DOUBLE))")),
+    "log": (rounded("log", ("p_dec_n", column("p_size"))), _deg.format("log10(CAST(p_size AS DOUBLE))")),
+    "round": (fn1("grel:math_round", "p_dec_n", "p_retailprice"), "CAST(round_even(p_retailprice, 0) AS BIGINT)"),
+    "factn": (call("grel:math_factn", ("p_int_i", _m), ("p_int_i2", const("8"))), "CASE WHEN p_size % 5 = 0 THEN 0 ELSE CAST(factorial(7) / factorial(p_size % 5 - 1) AS BIGINT) END"),
+    "multinomial": (call("grel:math_multinomial", ("p_array_a", nested(call("grel:string_split", (V, nested(call("fx:concat", ("valueParameter1", _m), ("valueParameter2", const("2")), ("p_string_sep", const(" "))))), ("p_string_sep", const(" ")))))), "(p_size % 5 + 1) * (p_size % 5 + 2) // 2"),
+    "random": (call("grel:math_randomNumber", ("p_int_i", const("3")), ("p_int_i2", const("3"))), "CAST(3 AS DOUBLE)"),
+})
+_pair = nested(call("grel:string_split", (V, nested(call("fx:concat", ("valueParameter1", column("p_size")), ("valueParameter2", column("p_partkey")), ("p_string_sep", const(" "))))), ("p_string_sep", const(" "))))
+
+
+def joined(c: str) -> str:
+    return call("grel:array_join", ("p_array_a", nested(c)), ("p_string_sep", const("|")))
+
+
+functions("fn_lists", "part", "p_partkey", {
+    "sum": (call("grel:array_sum", ("p_array_a", _pair)), "p_size + p_partkey"),
+    "slice": (joined(call("grel:array_slice", ("p_array_a", nested(_words)), ("param_int_i_from", const("0")), ("param_int_i_opt_to", const("-1")))), "array_to_string(string_split(p_name, ' ')[1:len(string_split(p_name, ' ')) - 1], '|')"),
+    "uniques": (call("grel:array_length", ("p_array_a", nested(call("grel:array_uniques", ("p_array_a", nested(_words)))))), "len(list_distinct(string_split(p_name, ' ')))"),
+    "codes": (joined(fn1("grel:unicodestring-s", V, "p_brand")), "array_to_string([unicode(x) for x in string_split(p_brand, '')], '|')"),
+    "lengths": (joined(fn1("grel:string_splitByLengths", V, "p_brand", ("p_int_i", const("2")), ("p_int_i2", const("3")), ("p_rep_i", const("1")))), "p_brand[1:2] || '|' || p_brand[3:5] || '|' || p_brand[6:6]"),
+    "smart": (joined(fn1("grel:string_smartSplit", V, "p_name", ("p_opt_sep", const(" ")))), "replace(p_name, ' ', '|')"),
+})
+functions("fn_pieces", "part", "p_partkey", {
+    "types": (joined(fn1("grel:string_splitByCharType", V, "p_brand")), "array_to_string(regexp_extract_all(p_brand, '[A-Z]+|[a-z]+|\\s|[0-9]'), '|')"),
+    "partition": (joined(fn1("grel:string_partition", V, "p_brand", ("p_fragment", const("#")))), "replace(p_brand, '#', '|#|')"),
+    "rpartition": (joined(fn1("grel:string_rpartition", V, "p_brand", ("p_fragment", const("#")), ("p_bool_opt_b", const("true")))), "replace(p_brand, '#', '|')"),
+    "match": (joined(fn1("grel:string_match", V, "p_name", ("p_string_regex", const("[aeiou]")))), "array_to_string(regexp_extract_all(p_name, '[aeiou]'), '|')"),
+    "chars": (fn1("grel:string_replaceChars", V, "p_name", ("p_string_find", const("e")), ("p_string_replace", const("3"))), "replace(p_name, 'e', '3')"),
+    "trim": (call("grel:string_trim", (V, nested(call("fx:concat", ("valueParameter1", const(" ")), ("valueParameter2", column("p_name")), ("p_string_sep", const(" ")))))), "p_name"),
+})
+_marked = nested(call("fx:concat", ("valueParameter1", column("p_brand")), ("valueParameter2", const("<a&b>")), ("p_string_sep", const(" "))))
+functions("fn_texts", "part", "p_partkey", {
+    "html": (call("grel:escape", (V, _marked), ("modeParameter", const("html"))), "p_brand || ' &lt;a&amp;b&gt;'"),
+    "url": (call("grel:escape", (V, _marked), ("modeParameter", const("url"))), "replace(p_brand, '#', '%23') || '%20%3Ca%26b%3E'"),
+    "plain": (call("grel:string_unescape", (V, nested(call("grel:escape", (V, _marked), ("modeParameter", const("xml"))))), ("modeParameter", const("xml"))), "p_brand || ' <a&b>'"),
+    "number": (fn1("grel:string_toNumber", "p_any_e", "p_size"), "CAST(p_size AS DOUBLE)"),
+    "text": (fn1("grel:string_toString", "p_any_e", "p_size"), "p_size"),
+    "diff": (call("grel:string_diff", (V, const("Brand")), ("valueParameter2", column("p_brand"))), "p_brand[6:]"),
+    "type": (fn1("grel:other_type", "p_any_e", "p_name"), "'str'"),
+    "uuid": (call("grel:string_length", (V, nested(call("fx:uuid")))), "36"),
+    "now": (call("grel:string_length", (V, nested(call("grel:string_substring", (V, nested(call("grel:date_now"))), ("param_int_i_from", const("0")), ("param_int_i_opt_to", const("10")))))), "10"),
+})
+_has = {x: nested(call("grel:string_contains", (V, column("c_name")), ("string_sub", const(x)))) for x in "123"}
+functions("fn_booleans", "customer", "c_custkey", {
+    "either": (call("grel:boolean_or", *(("param_rep_b", _has[x]) for x in "12")), "CASE WHEN contains(c_name, '1') OR contains(c_name, '2') THEN 'true' ELSE 'false' END"),
+    "odd": (call("grel:boolean_xor", *(("param_rep_b", _has[x]) for x in "123")), "CASE WHEN (CAST(contains(c_name, '1') AS INT) + CAST(contains(c_name, '2') AS INT) + CAST(contains(c_name, '3') AS INT)) % 2 = 1 THEN 'true' ELSE 'false' END"),
+    "none": (call("grel:boolean_not", ("bool_b", _has["1"])), "CASE WHEN contains(c_name, '1') THEN 'false' ELSE 'true' END"),
+    "shout": (call("<http://example.com/idlab/function/toUpperCaseURL>", ("<http://example.com/idlab/function/str>", column("c_name"))), "'http://' || replace(upper(c_name), '#', '%23')"),
+})

@@ -6,7 +6,7 @@ import sqlite3
 import pytest
 
 from graphloom.api import KnowledgeGraph, materialize_set, translate_to_rml
-from graphloom.model import MappingError
+from graphloom.model import MappingError, Source
 from graphloom.sources import SourceError
 
 HEAD = """@prefix rr: <http://www.w3.org/ns/r2rml#> . @prefix rml: <http://w3id.org/rml/> . @prefix ql: <http://semweb.mmlab.be/ns/ql#> .
@@ -227,3 +227,64 @@ def test_partitions_are_disjoint(spark, people):
 
     assert sorted(map(len, disjoint_groups(kg.rules).values())) == [1, 2]
     assert kg.engine.grouped(kg.rules).select("s", "p", "o", "g").exceptAll(kg.engine.materialize(kg.rules)).count() == 0
+
+
+def test_optional_joins_have_keys_and_keep_solutions(spark):
+    """Joins, MINUS and EXISTS on a variable that may be unbound, against nested loops over solutions."""
+    rows = [(1, "a", None, "b"), (2, None, "a", None), (3, "b", "b", "a"), (4, None, None, "c"), (5, "c", "a", None)]
+    spark.createDataFrame(rows, "id int, a string, b string, c string").createOrReplaceTempView("t_opt")
+    kg = KnowledgeGraph.from_mapping(spark, HEAD + '<#A> rr:logicalTable [ rr:tableName "t_opt" ] ; rr:subjectMap [ rr:template "http://ex/{id}" ; rr:class ex:T ] ; ' + " ; ".join(f'rr:predicateObjectMap [ rr:predicate ex:{c} ; rr:objectMap [ rr:column "{c}" ] ]' for c in "abc") + " .", keys={"t_opt": ("id",)})
+
+    def bound(name, i, v):
+        return {name: f"<http://ex/{i}>"} | ({"v": f'"{v}"'} if v else {})
+
+    a, b, c = [bound("x", r[0], r[1]) for r in rows], [bound("y", r[0], r[2]) for r in rows if r[2]], [bound("z", r[0], r[3]) for r in rows]
+
+    def agree(p, q):
+        return all(p[k] == q[k] for k in p if k in q)
+
+    def join(p, q):
+        return [x | y for x in p for y in q if agree(x, y)]
+
+    def left(p, q):
+        return [m for x in p for m in ([x | y for y in q if agree(x, y)] or [x])]
+
+    A, C = "?x a ex:T OPTIONAL { ?x ex:a ?v }", "{ ?z a ex:T OPTIONAL { ?z ex:c ?v } }"
+    for names, pattern, want in (
+        ("xyv", f"{A} ?y ex:b ?v", join(a, b)),
+        ("xzv", f"{{ {A} }} {C}", join(a, c)),
+        ("xyv", f"{A} OPTIONAL {{ ?y ex:b ?v }}", left(a, b)),
+        ("yzv", f"?y ex:b ?v OPTIONAL {C}", left(b, c)),
+        ("xzv", f"{A} OPTIONAL {C}", left(a, c)),
+        ("xv", f"{A} MINUS {{ ?y ex:b ?v }}", [p for p in a if not any(agree(p, q) and p.keys() & q.keys() for q in b)]),
+        ("xv", f"{A} FILTER EXISTS {{ ?y ex:b ?v }}", [p for p in a if any(agree(p, q) for q in b)]),
+        ("xv", f"{A} FILTER NOT EXISTS {{ ?y ex:b ?v }}", [p for p in a if not any(agree(p, q) for q in b)]),
+    ):
+        got = kg.sparql(f"PREFIX ex: <http://ex/> SELECT {' '.join('?' + n for n in names)} WHERE {{ {pattern} }}")
+        assert sorted(map(repr, (tuple(r[n] for n in names) for r in got.collect()))) == sorted(repr(tuple(p.get(n) for n in names)) for p in want), pattern
+
+
+def test_csv_is_split_unless_a_record_spans_lines(spark, tmp_path):
+    (tmp_path / "plain.csv").write_text('id,"a name"\n' + "".join(f'{i},"n {i}"\n' for i in range(4000)))
+    (tmp_path / "lines.csv").write_text('id,"a name"\n1,"two\nlines"\n2,"say ""hi"""\n')
+    from graphloom.sources import Sources
+
+    sources = Sources(spark, root=str(tmp_path))
+    assert not sources.records_span_lines(f"{tmp_path}/plain.csv") and sources.records_span_lines(f"{tmp_path}/lines.csv")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        df = sources.read_csv(Source("csv", "plain.csv"), ["id"])
+        assert df.rdd.getNumPartitions() > 1 and df.count() == 4000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {tuple(r) for r in sources.read_csv(Source("csv", "lines.csv"), []).collect()} == {("1", "two\nlines"), ("2", 'say "hi"')}
+
+
+def test_templates_that_a_row_can_make_absolute_keep_their_answers(spark):
+    spark.createDataFrame([("ab", 1), ("x", 2)], "k string, n int").createOrReplaceTempView("t_rel")
+    m = '<#A> rr:logicalTable [ rr:tableName "t_rel" ] ; rr:subjectMap [ rr:template "{k}:z" ] ; rr:predicateObjectMap [ rr:predicate ex:n ; rr:objectMap [ rr:column "n" ] ] . <#B> rr:logicalTable [ rr:tableName "t_rel" ] ; rr:subjectMap [ rr:template "{k}/z" ] ; rr:predicateObjectMap [ rr:predicate ex:m ; rr:objectMap [ rr:column "n" ] ] .'
+    assert made(spark, m) == {'<ab:z> <http://ex/n> "1"', '<x:z> <http://ex/n> "2"', '<http://base/ab/z> <http://ex/m> "1"', '<http://base/x/z> <http://ex/m> "2"'}
+    kg = KnowledgeGraph.from_mapping(spark, HEAD + m)
+    assert [r[0] for r in kg.sparql("SELECT ?n WHERE { <ab:z> <http://ex/n> ?n }").collect()] == ['"1"']
+    assert [r[0] for r in kg.sparql("SELECT ?n WHERE { <http://base/x/z> <http://ex/m> ?n }").collect()] == ['"2"']
