@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,3 +30,16 @@ def closure(edges: DataFrame) -> DataFrame:
         if (now := paths.count()) == n:
             return paths
         n = now
+
+
+def reached(edges: DataFrame, start: Column) -> DataFrame:
+    """The pairs (start, b) with a path of one edge or more: each round follows the edges of the nodes found last."""
+    edges = checkpointed(edges.select("a", "b").distinct())
+    found = checkpointed(edges.where(F.col("a") == start).select("b").distinct())
+    last, n = found, found.count()
+    while n:
+        step = last.select(F.col("b").alias("a")).join(edges, "a").select("b").distinct()
+        last = checkpointed(step.join(found, "b", "left_anti"))
+        n = last.count()
+        found = checkpointed(found.union(last)) if n else found
+    return found.select(start.alias("a"), "b")

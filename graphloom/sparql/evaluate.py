@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..frontend.mapping import template_parts
 from ..model import IRI, Literal, Rule, TermMap
 from ..operators.materialize import Engine
-from ..plans.fixpoint import closure
+from ..plans.fixpoint import closure, reached
 from ..plans.partition import apart, invariant, invertible
 from ..terms import TERM, escape, node_text, references
 from .expressions import EXACT, Expressions, V, constant, operands
@@ -620,7 +620,14 @@ class Evaluator:
         a, b = Var(f"_m{next(self.n)}"), Var(f"_m{next(self.n)}")
         f = self.path(a, p[1], b, graph)
         edges = f.df.select(col(a).alias("a"), col(b).alias("b")).distinct()
-        pairs = closure(edges) if kind in ("star", "plus") else edges
+        pairs = edges
+        if kind in ("star", "plus"):  # from a constant end only what it reaches is found, not all pairs
+            if not isinstance(s, Var):
+                pairs = reached(edges, constant(s).cast(TERM))
+            elif not isinstance(o, Var):
+                pairs = reached(edges.select(F.col("b").alias("a"), F.col("a").alias("b")), constant(o).cast(TERM)).select(F.col("b").alias("a"), F.col("a").alias("b"))
+            else:
+                pairs = closure(edges)
         if kind in ("star", "maybe"):
             ends = [x for x in (s, o) if not isinstance(x, Var)]
             nodes = edges.select("a").union(edges.select("b"))

@@ -288,3 +288,18 @@ def test_templates_that_a_row_can_make_absolute_keep_their_answers(spark):
     kg = KnowledgeGraph.from_mapping(spark, HEAD + m)
     assert [r[0] for r in kg.sparql("SELECT ?n WHERE { <ab:z> <http://ex/n> ?n }").collect()] == ['"1"']
     assert [r[0] for r in kg.sparql("SELECT ?n WHERE { <http://base/x/z> <http://ex/m> ?n }").collect()] == ['"2"']
+
+
+def test_paths_from_a_constant_end(spark):
+    edges = [(1, 2), (2, 3), (3, 1), (3, 4), (5, 4), (6, 6)]
+    spark.createDataFrame(edges, "a int, b int").createOrReplaceTempView("t_path")
+    kg = KnowledgeGraph.from_mapping(spark, HEAD + '<#A> rr:logicalTable [ rr:tableName "t_path" ] ; rr:subjectMap [ rr:template "http://ex/{a}" ] ; rr:predicateObjectMap [ rr:predicate ex:to ; rr:objectMap [ rr:template "http://ex/{b}" ] ] .')
+
+    def asked(pattern):
+        return sorted(r[0][len("<http://ex/"):-1] for r in kg.sparql(f"PREFIX ex: <http://ex/> SELECT ?x WHERE {{ {pattern} }}").collect())
+
+    assert asked("<http://ex/1> ex:to+ ?x") == ["1", "2", "3", "4"]
+    assert asked("<http://ex/5> ex:to* ?x") == ["4", "5"]
+    assert asked("?x ex:to+ <http://ex/4>") == ["1", "2", "3", "5"]
+    assert asked("?x ex:to* <http://ex/6>") == ["6"]
+    assert asked("<http://ex/4> ex:to+ ?x") == []
