@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import base, documents, pieces
+from .common import base, documents, free, pieces, written
 from .hashing import WordHashes, windows, words_of
 
 #: Perfect difference sets: every residue but 0 is the difference of exactly one pair.
@@ -84,7 +84,8 @@ def substring_dedup(docs: DataFrame, length: int = 20, period: int = 13) -> Data
     # own: 0 for the one row that stands for a block, so a key meets one row a block at most; the others are known to repeat
     n = F.count(F.lit(1)).over(Window.partitionBy("h", F.when(F.col("own") == 0, F.lit(0)).otherwise(F.col("rid") + F.col("own"))))
     repeated = found.withColumn("n", n).where(F.col("known") | (F.col("n") > 1))
-    repeated = repeated.groupBy("rid").agg(F.collect_set("h").alias("hs"))
+    # each step's shuffle files go before the next one shuffles the texts
+    repeated = written(repeated.groupBy("rid").agg(F.collect_set("h").alias("hs")))
     marked = rows.join(repeated, "rid").select("rid", "doc_id", "text", "hs")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +131,8 @@ def substring_dedup(docs: DataFrame, length: int = 20, period: int = 13) -> Data
     full = marked.mapInArrow(candidates, "h long, doc_id long, rid long, pos int, run int, known boolean")
     order = Window.partitionBy("h", "known").orderBy(F.col("doc_id").asc_nulls_last(), "rid", "pos")
     later = full.withColumn("n", F.row_number().over(order)).where(F.col("known") | (F.col("n") > 1))
-    later = later.groupBy("rid").agg(F.collect_list("pos").alias("pos"), F.collect_list("run").alias("run"))
+    later = written(later.groupBy("rid").agg(F.collect_list("pos").alias("pos"), F.collect_list("run").alias("run")))
+    free(repeated)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):

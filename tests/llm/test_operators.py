@@ -215,6 +215,12 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_substring_dedup_keeps_one_steps_shuffles(docs):
+    """The last step shuffles texts and runs, nothing of the steps before it, whose shuffle files can go by then."""
+    plan = substring_dedup.substring_dedup(docs)._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" not in plan and plan.count("MapInArrow") == 1
+
+
 def test_covers_are_perfect():
     for period, cover in substring_dedup.COVERS.items():
         assert sorted((a - b) % period for a in cover for b in cover if a != b) == list(range(1, period))
