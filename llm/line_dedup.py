@@ -12,7 +12,9 @@ position, has that similarity, whether or not that one stays.
 Equal sets are one set from the start. Sets that share their least or greatest
 word hash are first compared with the earliest one of them, which settles most
 of a family of near copies without expanding it into pairs; a pair is then
-skipped only if both its sets are known to go, so no match is lost. A set so
+skipped only if both its sets are known to go, so no match is lost. Of the
+pairs that are left, a later set's closest few by sketch are verified first,
+and all its others only if none of those matches. A set so
 small that one word more or less breaks the threshold matches equal sets only
 and takes part in no join.
 """
@@ -28,6 +30,7 @@ from .common import base, bitmap_of, documents, fixed_array, free, written
 
 BUCKETS = 1 << 16
 LANES = 2  # longs of a parity sketch
+FIRST = 4  # pairs of a set that are verified before its others
 MOST_N, MOST_P = (1 << 20) - 1, (1 << 11) - 1
 
 
@@ -49,7 +52,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def rarity(docs: DataFrame) -> list[int]:
     """For each hash bucket a number that grows with its words' count: a scaled logarithm, below 128, so that a table of bytes will do."""
-    words = docs.select(F.explode(F.split(spaced(F.col("text")), "\n")).alias("line")).select(F.explode(F.split("line", " ")).alias("w")).where("w <> ''")
+    words = docs.select(F.explode(F.split(F.replace(spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     out = [0] * BUCKETS
     for b, r in counts.select("b", (F.log2(F.col("n") + 1) * 3).cast("int")).collect():  # BUCKETS rows at most
@@ -69,11 +72,18 @@ def line_sets(docs: DataFrame, threshold: float) -> DataFrame:
     # no element is null, which Spark has to know to sort and compare plain longs
     rank = lambda h: F.coalesce(F.shiftleft(F.get(rare, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("bigint"), 44) + h.bitwiseAND(F.lit(low)), F.lit(0).cast("bigint"))
     low32 = lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")
-    lane = lambda i: F.expr(f"aggregate(ids, 0L, (a, h) -> if((shiftright(h, 32) & {LANES - 1}) = {i}, a ^ shiftleft(1L, cast(h & 63 as int)), a))")
+    # p1: parities of the words whose hash has bit 32; p0: of the others, which are all but those
+    lanes = [F.expr(f"aggregate(ids, 0L, (a, h) -> a ^ shiftleft({one}, cast(h & 63 as int)))") for one in ("1L", "shiftright(h, 32) & 1L")]
     hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     rows = _lines(docs).select("rid", "doc_id", "pos", hashes.alias("ids"))
-    rows = rows.select("rid", "doc_id", "pos", n.alias("n"), F.sort_array(F.transform("ids", rank)).alias("r"), *(lane(i).alias(f"p{i}") for i in range(LANES)), take.alias("take"), F.array_min("ids").alias("lo"), F.array_max("ids").alias("hi"))
-    return rows.select("rid", "doc_id", "pos", "n", *(f"p{i}" for i in range(LANES)), F.xxhash64("r", "lo", "hi").alias("k1"), F.hash("r", "lo", "hi").alias("k2"), F.transform(F.slice("r", F.lit(1), F.col("take")), low32).alias("prefix"), low32(F.col("lo")).alias("lo"), low32(F.col("hi")).alias("hi"))
+    rows = rows.select("rid", "doc_id", "pos", n.alias("n"), F.sort_array(F.transform("ids", rank)).alias("r"), lanes[0].alias("p"), lanes[1].alias("p1"), take.alias("take"), F.array_min("ids").alias("lo"), F.array_max("ids").alias("hi"))
+    return rows.select("rid", "doc_id", "pos", "n", F.col("p").bitwiseXOR(F.col("p1")).alias("p0"), "p1", F.xxhash64("r", "lo", "hi").alias("k1"), F.hash("r", "lo", "hi").alias("k2"), F.transform(F.slice("r", F.lit(1), F.col("take")), low32).alias("prefix"), low32(F.col("lo")).alias("lo"), low32(F.col("hi")).alias("hi"))
+
+
+def closest(pairs: DataFrame) -> DataFrame:
+    """Of the pairs of each later set (k1, k2), dealt into FIRST parts by ``pa``, each part's nearest by ``far``."""
+    part = F.pmod(F.xxhash64("pa.rid", "pa.pos"), F.lit(FIRST)).alias("part")
+    return pairs.groupBy("k1", "k2", part).agg(F.min(F.struct("far", "pa", "pb")).alias("x")).select("k1", "k2", "x.*")
 
 
 def decisions(docs: DataFrame, threshold: float = 0.8, least: int = 1) -> DataFrame:
@@ -95,25 +105,26 @@ def decisions(docs: DataFrame, threshold: float = 0.8, least: int = 1) -> DataFr
     first = written(lines.where(shared).groupBy("k1", "k2").agg(F.min(F.struct(*rest)).alias("f")).select("k1", "k2", "f.*"))
     sets = lines.where(~shared).select("k1", "k2", *rest).unionByName(first)
 
+    def apart(par1: list[Column], par2: list[Column]) -> Column:
+        return reduce(lambda a, b: a + b, (F.bit_count(a.bitwiseXOR(b)) for a, b in zip(par1, par2, strict=True)))
+
     def may_match(n1: Column, p1: Column, n2: Column, p2: Column, par1: list[Column], par2: list[Column]) -> Column:
         """Length and positional filters, and the sketches' distance; p: positions of a common word, the first one of both sets."""
         need = F.ceil((n1 + n2) * (threshold / (1 + threshold)) - 1e-9)
-        apart = reduce(lambda a, b: a + b, (F.bit_count(a.bitwiseXOR(b)) for a, b in zip(par1, par2, strict=True)))
-        return (F.least(n1, n2) >= F.greatest(n1, n2) * threshold - 1e-9) & (F.least(n1 - p1, n2 - p2) >= need) & (apart <= n1 + n2 - 2 * need)
+        return (F.least(n1, n2) >= F.greatest(n1, n2) * threshold - 1e-9) & (F.least(n1 - p1, n2 - p2) >= need) & (apart(par1, par2) <= n1 + n2 - 2 * need)
 
-    def verified(ends: DataFrame) -> DataFrame:
-        """Identities of the later sets of the pairs that match: ends has them and the places pa and pb of both sets' first lines."""
-        ends = written(ends)
-        wanted = ends.select(F.explode(F.array("pa", "pb")).alias("x")).select("x.rid", "x.pos").distinct()
+    def words_at(wanted: DataFrame) -> DataFrame:
+        """rid, pos and words of the lines at these places (rid, pos), each there once."""
         few = _lines(docs).where(bitmap_of(wanted, "rid", "pos"))
-        tokens = few.join(wanted, ["rid", "pos"]).select("rid", "pos", F.array_distinct(words_in(F.col("line"))).alias("t"))
+        return few.join(wanted, ["rid", "pos"]).select("rid", "pos", F.array_distinct(words_in(F.col("line"))).alias("t"))
+
+    def verified(ends: DataFrame, tokens: DataFrame) -> DataFrame:
+        """Identities of the later sets of the pairs that match: ends has them and the places pa and pb of both sets' first lines."""
         a = tokens.select(F.col("rid").alias("ra"), F.col("pos").alias("qa"), F.col("t").alias("ta"))
         b = tokens.select(F.col("rid").alias("rb"), F.col("pos").alias("qb"), F.col("t").alias("tb"))
         both = ends.join(a, (F.col("pa.rid") == F.col("ra")) & (F.col("pa.pos") == F.col("qa"))).join(b, (F.col("pb.rid") == F.col("rb")) & (F.col("pb.pos") == F.col("qb")))
         common = F.size(F.array_intersect("ta", "tb"))
-        out = written(both.where(common >= (F.size("ta") + F.size("tb") - common) * threshold - 1e-9).select("k1", "k2").distinct())
-        free(ends)
-        return out
+        return written(both.where(common >= (F.size("ta") + F.size("tb") - common) * threshold - 1e-9).select("k1", "k2").distinct())
 
     def cols(p: str) -> list[Column]:
         return [F.col(f"{p}{x}") for x in lanes]
@@ -125,7 +136,8 @@ def decisions(docs: DataFrame, threshold: float = 0.8, least: int = 1) -> DataFr
     near = ends.join(lead, ["which", "h"])
     zero = F.lit(0)
     near = near.where((F.col("place") != F.col("lead.place")) & may_match(F.col("n"), zero, F.col("lead.n"), zero, cols(""), cols("lead.")))
-    gone = verified(near.select(F.col("lead.place").alias("pa"), F.col("place").alias("pb"), "k1", "k2").distinct())
+    near = written(near.select(F.col("lead.place").alias("pa"), F.col("place").alias("pb"), "k1", "k2").distinct())
+    gone = verified(near, words_at(near.select(F.explode(F.array("pa", "pb")).alias("x")).select("x.rid", "x.pos").distinct()))
     # the bitmap says for most sets that they are not among those; only the others are looked up
     key = ["k1", "k2"]
     lean = joining.select(*key, "n", *lanes, "prefix")
@@ -147,21 +159,26 @@ def decisions(docs: DataFrame, threshold: float = 0.8, least: int = 1) -> DataFr
     both_go = F.col("a_m").bitwiseAND(F.col("b_m")).bitwiseAND(F.lit(1)) == 1
     fits = may_match(size("a_m"), at("a_m"), size("b_m"), at("b_m"), cols("a_"), cols("b_"))
     pairs = x.join(y, (x["a_w"] == y["b_w"]) & ordered & ~both_go & fits)
-    pairs = written(pairs.select("a_k1", k2("a_m").alias("a_k2"), "b_k1", k2("b_m").alias("b_k2")).distinct())
+    far = (apart(cols("a_"), cols("b_")) * 1000 / (size("a_m") + size("b_m"))).cast("int")
+    pairs = written(pairs.select("a_k1", k2("a_m").alias("a_k2"), "b_k1", k2("b_m").alias("b_k2"), far.alias("far")).distinct())
     ids = pairs.select(F.explode(F.array(*(F.struct(F.col(f"{p}_k1").alias("k1"), F.col(f"{p}_k2").alias("k2")) for p in "ab"))).alias("x")).select("x.*")
-    where = sets.select(*key, "place").where(bitmap_of(ids, *key))
+    where = written(sets.select(*key, "place").where(bitmap_of(ids, *key)))
     ends = [where.select(*(F.col(c).alias(f"{p}_{c}") for c in where.columns)) for p in "ab"]
     placed = pairs.join(ends[0], ["a_k1", "a_k2"]).join(ends[1], ["b_k1", "b_k2"])
-    later = F.when(F.col("a_place") < F.col("b_place"), F.struct(F.col("b_k1").alias("k1"), F.col("b_k2").alias("k2"))).otherwise(F.struct(F.col("a_k1").alias("k1"), F.col("a_k2").alias("k2")))
-    placed = placed.select(F.col("a_place").alias("pa"), F.col("b_place").alias("pb"), later.alias("x")).select("pa", "pb", "x.*")
-    more = verified(placed.join(gone, key, "left_anti"))
+    first_a = F.col("a_place") < F.col("b_place")
+    pick = lambda p, q: F.when(first_a, F.col(p)).otherwise(F.col(q))
+    placed = placed.select(pick("a_place", "b_place").alias("pa"), pick("b_place", "a_place").alias("pb"), pick("b_k1", "a_k1").alias("k1"), pick("b_k2", "a_k2").alias("k2"), "far")
+    placed = written(placed.join(gone, key, "left_anti"))
+    tokens = written(words_at(where.select("place.rid", "place.pos")))
+    soon = verified(closest(placed), tokens)
+    late = verified(placed.join(soon, key, "left_anti"), tokens)
     # lines of sets that go, and all but the first line of the others
-    every = written(gone.union(more).distinct())
+    every = written(gone.union(soon).union(late).distinct())
     out = lines.where(bitmap_of(every, *key)).join(every, key, "left_semi").select("rid", "pos")
     firsts = first.select(*key, "place")
     copies = lines.where(shared).select(*key, "rid", "pos").join(firsts, key).where((F.col("rid") != F.col("place.rid")) | (F.col("pos") != F.col("place.pos")))
     out = written(out.union(copies.select("rid", "pos")))
-    free(stored, first, gone, more, pairs, every)
+    free(stored, first, near, gone, pairs, where, placed, tokens, soon, late, every)
     return out.groupBy("rid").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
 
 

@@ -173,6 +173,35 @@ def test_line_dedup(docs, empty, least):
     assert line_dedup.line_dedup(base(empty)).count() == 0
 
 
+def test_line_dedup_verifies_few_pairs_of_a_family(spark, monkeypatch):
+    """Near copies around the threshold: as brute force has it, and of a set's pairs a few are verified before its others."""
+    import random
+
+    rng = random.Random(3)
+    kept = rng.sample(range(1000), 40)
+    sets = []
+    for _ in range(150):
+        own = set(kept)
+        for w in rng.sample(kept, rng.randint(1, 6)):
+            own ^= {w, 1000 + rng.randrange(5000)}
+        sets.append(own)
+    want = [i for i, x in enumerate(sets) if any(len(x & y) >= 0.8 * len(x | y) - 1e-9 for y in sets[:i])]
+    table = spark.createDataFrame([(i, " ".join(f"w{w}" for w in sorted(x))) for i, x in enumerate(sets)], "doc_id long, text string")
+    met, real = [], line_dedup.closest
+
+    def spy(pairs):
+        out = real(pairs)
+        met.append((pairs.count(), pairs.select("k1", "k2").distinct().count(), out.count()))
+        return out
+
+    monkeypatch.setattr(line_dedup, "closest", spy)
+    rows = base(table)
+    gone = line_dedup.decisions(rows).select("rid").join(rows, "rid").collect()
+    assert sorted(r.doc_id for r in gone) == want
+    ((pairs, later, first),) = met
+    assert later <= first <= line_dedup.FIRST * later and first < pairs
+
+
 def test_near_duplicate_bound_holds(spark):
     """No pair that is similar enough has more shingles of its own than the sketches are held against."""
     rng = np.random.default_rng(11)
