@@ -75,6 +75,22 @@ def test_bpe_words_of_odd_texts():
         assert ids == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_bpe_runs_and_distinct_words():
+    """Both passes cut the same runs, whatever the separator, and list the same words in the same order."""
+    for c in map(chr, range(0x110000)):
+        t = f"a{c}b"
+        if c.isspace() or bpe_words.RUN.findall(t) != [t]:
+            assert bpe_words.runs_of(t) == bpe_words.RUN.findall(t), hex(ord(c))
+    splitter = bpe_words.Splitter(["<s>"])
+    texts = ["b a b's\x1cx <s> A-1 é", "", "z" * 100 + " a " + "z" * 100, "x\u3000ΣΑΣ 12 b"]
+    numbers = bpe_words.Numbers()
+    runs = bpe_words.Runs(splitter, numbers)
+    for t in texts:
+        for run in bpe_words.RUN.findall(t):
+            runs[run]
+    assert bpe_words.distinct_words(splitter, texts) == list(numbers)
+
+
 def test_flac_round_trip(docs, empty):
     coded = flac.media(base(docs))
     rows = flac.read_back(coded).collect()
