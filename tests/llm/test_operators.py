@@ -218,6 +218,24 @@ def test_line_dedup_verifies_few_pairs_of_a_family(spark, monkeypatch):
     assert later <= first <= line_dedup.FIRST * later and first < pairs
 
 
+def test_line_sketches_bound_the_difference(spark):
+    """Sets of up to and over SHORT words, against each other: no sketch distance above the number of words of one set only."""
+    import random
+
+    rng = random.Random(5)
+    sizes = [1, 7, line_dedup.SHORT - 1, line_dedup.SHORT, line_dedup.SHORT + 1, 90, 200]
+    sets = [set(rng.sample(range(400), n)) for n in sizes for _ in range(6)]
+    table = spark.createDataFrame([(i, " ".join(f"w{w}" for w in x)) for i, x in enumerate(sets)], "doc_id long, text string")
+    hashed = line_dedup.word_hashes(line_dedup._lines(base(table)))
+    rows = line_dedup.line_sets(hashed, 0.8).select("doc_id", "n", "p0", "p1").cache()
+    x, y = (rows.select(*(F.col(c).alias(f"{s}_{c}") for c in rows.columns)) for s in "xy")
+    far = line_dedup.apart(F.col("x_n"), F.col("y_n"), [F.col("x_p0"), F.col("x_p1")], [F.col("y_p0"), F.col("y_p1")])
+    got = x.crossJoin(y).select("x_doc_id", "y_doc_id", "x_n", far.alias("far")).collect()
+    assert len(got) == len(sets) ** 2 and all(r.x_n == len(sets[r.x_doc_id]) for r in got)
+    own = [(r.far, len(sets[r.x_doc_id] ^ sets[r.y_doc_id])) for r in got]
+    assert all(f <= d and (f - d) % 2 == 0 for f, d in own) and sum(f > 0 for f, _ in own) > len(own) / 2
+
+
 def test_near_duplicate_bound_holds(spark):
     """No pair that is similar enough has more shingles of its own than the sketches are held against."""
     rng = np.random.default_rng(11)
